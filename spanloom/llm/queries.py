@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .linededup import OP6_SQL, op6_bloom_lines
 from .rans import op1_rans_tokens
+from .simhash import op5_simhash
 
-QUERIES = {"op1_rans_tokens": op1_rans_tokens}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_rans_tokens": op1_rans_tokens, "op5_simhash": op5_simhash, "op6_bloom_lines": op6_bloom_lines}
+ORACLES = {"op6_bloom_lines": OP6_SQL}
