@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from .langid import op2_unigram_langid
 from .linededup import OP6_SQL, op6_bloom_lines
+from .media import op9_media_archive
+from .mixing import OP3_SQL, op3_curriculum_mix
+from .packing import op7_bm25_packing
+from .quality import op10_ftrl_quality
 from .rans import op1_rans_tokens
 from .simhash import op5_simhash
 
-QUERIES = {"op1_rans_tokens": op1_rans_tokens, "op5_simhash": op5_simhash, "op6_bloom_lines": op6_bloom_lines}
-ORACLES = {"op6_bloom_lines": OP6_SQL}
+QUERIES = {f.__name__: f for f in (op1_rans_tokens, op2_unigram_langid, op3_curriculum_mix, op5_simhash, op6_bloom_lines, op7_bm25_packing, op9_media_archive, op10_ftrl_quality)}
+ORACLES = {"op3_curriculum_mix": OP3_SQL, "op6_bloom_lines": OP6_SQL}
