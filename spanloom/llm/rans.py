@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import codec, materialize, partitions, release, scratch, slices
 
-BITS, LANES, STRIDE, BLOCK_TOKENS = 20, 512, 256, 1 << 18
+BITS, LANES, STRIDE, BLOCK_TOKENS = 20, 2048, 128, 1 << 20
 LOW = np.uint64(1 << 31)
 HEAD = struct.Struct("<4sHHIII")
 
