@@ -1,4 +1,4 @@
 """All queries of the engine by name, and the DuckDB SQL that the expressible ones must agree with."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import texts  # noqa: F401
+from .base import ORACLES, QUERIES  # noqa: F401
