@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,28 +59,35 @@ def phrase_check(source: Column, output: Column, most: float = 3.0) -> Column:
     return F.struct((F.size(reasons) == 0).alias("accepted"), reasons.alias("reasons"), n.alias("source_tokens"), m.alias("output_tokens"), (m / n).alias("ratio"))
 
 
-def max_run(w: Column) -> Column:
-    """The longest run of equal words."""
-    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+def folded(w: Column, finish: Callable[[Column], Column]) -> Column:
+    """finish(struct(n, best, pairs)) of a word array: its length, its longest run of one word, and how often a
+    word pair comes again right after itself. One pass; the array is computed once."""
+    start = F.struct(*[F.lit("").alias(k) for k in ("one", "two", "three")], *[F.lit(0).alias(k) for k in ("n", "run", "best", "pairs")])
 
     def add(s: Column, x: Column) -> Column:
-        run = F.when(x == s["last"], s["run"] + 1).otherwise(1)
-        return F.struct(x.alias("last"), run.alias("run"), F.greatest(s["best"], run).alias("best"))
+        run = F.when((s["n"] > 0) & (x == s["one"]), s["run"] + 1).otherwise(1)
+        again = (s["n"] >= 3) & (x == s["two"]) & (s["one"] == s["three"])
+        return F.struct(x.alias("one"), s["one"].alias("two"), s["two"].alias("three"), (s["n"] + 1).alias("n"), run.alias("run"), F.greatest(s["best"], run).alias("best"), (s["pairs"] + again.cast("int")).alias("pairs"))
 
-    return F.aggregate(w, start, add, lambda s: s["best"]).cast("long")
+    return F.aggregate(w, start, add, finish)
+
+
+def max_run(w: Column) -> Column:
+    """The longest run of equal words."""
+    return folded(w, lambda s: s["best"]).cast("long")
 
 
 def repeated_pairs(w: Column) -> Column:
     """How many word pairs come again right after themselves."""
-    at = F.when(F.size(w) >= 4, F.sequence(F.lit(1), F.size(w) - 3)).otherwise(F.array().cast("array<int>"))
-    same = lambda i, k: F.element_at(w, i + k) == F.element_at(w, i + k + 2)
-    return F.size(F.filter(at, lambda i: same(i, 0) & same(i, 1))).cast("long")
+    return folded(w, lambda s: s["pairs"]).cast("long")
 
 
 def degenerate(text: Column, source_tokens: Column, most_run: int = 3, most_ratio: float = 0.35) -> Column:
     """Whether a model's output runs in circles or swells beyond measure."""
-    w = words(text)
-    n = F.size(w)
-    circles = (n >= 4) & (repeated_pairs(w) / F.greatest(F.lit(1), n - 3) > most_ratio)
-    swollen = (source_tokens <= 32) & (n > F.greatest(F.lit(32), source_tokens * 8))
-    return F.when(n == 0, F.trim(text) == "").otherwise((max_run(w) > most_run) | circles | swollen)
+
+    def told(s: Column) -> Column:
+        circles = (s["n"] >= 4) & (s["pairs"] / F.greatest(F.lit(1), s["n"] - 3) > most_ratio)
+        swollen = (source_tokens <= 32) & (s["n"] > F.greatest(F.lit(32), source_tokens * 8))
+        return F.when(s["n"] == 0, F.trim(text) == "").otherwise((s["best"] > most_run) | circles | swollen)
+
+    return folded(words(text), told)

@@ -70,10 +70,16 @@ def spans(c: Column) -> Column:
 
 def located(c: Column, pattern: str, kind: str) -> Column:
     """array of struct(start, stop, kind, content) of a pattern's matches; start counts from 0."""
-    found, gaps = matches(c, pattern), F.split(c, pattern, -1)
-    lengths = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda s, x: s + F.length(x))
-    start = lambda i: lengths(gaps, i + 1) + lengths(found, i)
-    return F.transform(found, lambda m, i: F.struct(start(i).alias("start"), (start(i) + F.length(m)).alias("stop"), F.lit(kind).alias("kind"), m.alias("content")))
+    shape = "array<struct<start:int,stop:int,kind:string,content:string>>"
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(shape).alias("out"))
+
+    def add(s: Column, x: Column) -> Column:
+        at, stop = s["at"] + F.length(x["gap"]), s["at"] + F.length(x["gap"]) + F.length(x["found"])
+        one = F.struct(at.alias("start"), stop.alias("stop"), F.lit(kind).alias("kind"), x["found"].alias("content"))
+        return F.struct(F.coalesce(stop, at).alias("at"), F.when(x["found"].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(one))).alias("out"))
+
+    both = F.arrays_zip(F.split(c, pattern, -1).alias("gap"), matches(c, pattern).alias("found"))
+    return F.aggregate(both, start, add, lambda s: s["out"])
 
 
 def protected_spans(c: Column) -> Column:
