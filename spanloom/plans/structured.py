@@ -1 +1,141 @@
-def translate_html(*a): raise NotImplementedError
+"""HTML translation over tables: parse, segment, batch, model, check, recover, rebuild.
+
+Documents that a guard stops never reach the parser. Segments are planned into batches and sent through the
+model map; outputs are checked in the JVM; only segments that failed are sent again, first under other
+placeholders, then run by run; a document is rebuilt only if all of its segments are right, and fails alone.
+Two shuffles by document: one to plan batches, one to bring outputs back to their document.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import patterns as P
+from ..functions import text as T
+from ..operators import batching
+from ..operators import segmenting as S
+from ..operators.html_tree import Tree
+from ..operators.model import model_map
+from ..sources.config import Structured
+
+RUN = "struct<node_id:string,kind:string,raw:string,placeholder:string,offset_start:int,offset_end:int,sequence_index:int,slot_index:int,translate:boolean>"
+SEGMENT = f"doc_id string, segment_id string, sequence_index int, block_key string, block_text string, source_text string, token_count long, placeholder_order array<string>, contents array<string>, runs array<{RUN}>, error string"
+
+
+def guarded(pages: DataFrame, settings: Structured) -> DataFrame:
+    """pages (doc_id, html) with error: what the native guards stop."""
+    error = F.when(F.col("html").isNull(), "not_a_string").when(F.length("html") > settings.max_characters, "document_too_long").when(F.contains("html", F.lit(P.PREFIX)), "structured")
+    return pages.select(F.col("doc_id").cast("string").alias("doc_id"), "html", error.alias("error"))
+
+
+def read(html: str, doc: str, settings: Structured) -> tuple[Tree, list[S.Segment], list[S.Segment]]:
+    tree = Tree(html, settings.excluded_tags, settings.excluded_classes)
+    text = S.segments(tree, doc, settings.max_segment_tokens, preserve=settings.preserve_patterns, translatable=settings.translatable_attributes)
+    return tree, text, S.attribute_segments(tree, doc, settings.translatable_attributes, settings.max_segment_tokens)
+
+
+def segmented(pages: DataFrame, settings: Structured | None = None) -> DataFrame:
+    """The segments of each document, attributes' last; a document that can't be segmented is one row with error."""
+    settings = settings or Structured()
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [x.split()[0] for x in SEGMENT.split(", ")]
+        for part in parts:
+            rows = []
+            for doc, html in zip(part["doc_id"], part["html"], strict=True):
+                try:
+                    _, text, attrs = read(html, doc, settings)
+                    rows += [{"doc_id": doc, "error": None} | s.row() | {"sequence_index": i} for i, s in enumerate([*text, *attrs])]
+                except ValueError:
+                    rows.append({"doc_id": doc, "sequence_index": 0, "error": "structured"})
+            yield pd.DataFrame(rows, columns=names)
+
+    good = guarded(pages, settings).filter(F.col("error").isNull())
+    return good.select("doc_id", "html").mapInPandas(run, SEGMENT)
+
+
+def renamed(c: Column, tokens: Column, prefix: str) -> Column:
+    """Placeholders under another prefix."""
+    return F.aggregate(tokens, c, lambda s, t: F.replace(s, t, F.replace(t, F.lit(P.PREFIX), F.lit(prefix))))
+
+
+def run_by_run(rows: DataFrame, model: Callable | None) -> DataFrame:
+    """Every translated run sent alone, its identifiers protected, and put between its segment's placeholders."""
+    runs = rows.select("segment_id", F.posexplode("runs").alias("at", "run"))
+    sent = runs.withColumn("spans", T.protected_spans(F.col("run.raw"))).withColumn("tokens", F.transform("spans", lambda s, i: T.token("span", i + 1)))
+    asked = F.when(F.col("run.translate") & ~F.col("run.raw").rlike(r"(?U)^\s*\z"), T.protected(F.col("run.raw"), F.col("spans")))
+    out = model_map(sent.withColumn("asked", asked), "asked", "got", model)
+    fine = F.col("asked").isNull() | F.coalesce(T.placeholder_check(F.col("got"), F.col("tokens"))["ok"], F.lit(False))
+    back = T.restored(F.col("got"), F.col("tokens"), F.transform("spans", lambda s: s["content"]))
+    piece = F.when(~F.col("run.translate"), F.col("run.placeholder")).when(F.col("asked").isNull(), F.col("run.raw")).otherwise(back)
+    pieces = F.array_sort(F.collect_list(F.struct("at", piece.alias("piece"))))
+    sums = out.groupBy("segment_id").agg(F.bool_and(fine).alias("fine"), pieces.alias("pieces"))
+    text = F.when(F.col("fine"), F.array_join(F.transform("pieces", lambda p: p["piece"]), ""))
+    return rows.join(sums.select("segment_id", text.alias("output")), "segment_id")
+
+
+def translated(segments: DataFrame, model: Callable | None = None, settings: Structured | None = None) -> DataFrame:
+    """segments with output (null if none is right), retries and fallbacks."""
+    settings = settings or Structured()
+    plan = batching.planned(segments.filter(F.col("error").isNull()).withColumn("seq", F.col("sequence_index") + 1), tokens="token_count", size=settings.batch_size)
+    fine = F.coalesce(T.placeholder_check(F.col("output"), F.col("placeholder_order"))["ok"], F.lit(False))
+    first = model_map(plan, "source_text", "output", model).withColumn("ok", fine).persist()
+    done = first.filter("ok").withColumns({"retries": F.lit(0), "fallbacks": F.lit(0)}).drop("ok")
+    left = first.filter("NOT ok").drop("ok", "output")
+    for k in range(settings.max_retries):
+        # A fresh prefix for each segment, from its text, so that a repeated task asks the same.
+        other = F.concat(F.lit("__IT"), F.upper(F.substring(F.md5(F.concat("source_text", F.lit(str(k))).cast("binary")), 1, 4)), F.lit("_"))
+        asked = F.aggregate("placeholder_order", F.col("source_text"), lambda s, t: F.replace(s, t, F.concat(other, F.substring(t, len(P.PREFIX) + 1, 20))))
+        names = F.transform("placeholder_order", lambda t: F.concat(other, F.substring(t, len(P.PREFIX) + 1, 20)))
+        rows = model_map(left.withColumn("asked", asked).withColumn("names", names), "asked", "got", model)
+        known = F.transform(T.matches(F.col("got"), P.ANY_PLACEHOLDER), lambda t: t)
+        again = F.coalesce(known == F.col("names"), F.lit(False))
+        back = T.restored(F.col("got"), F.col("names"), F.col("placeholder_order"))
+        rows = rows.withColumn("output", F.when(again, back)).drop("asked", "names", "got").persist()
+        done = done.unionByName(rows.filter(F.col("output").isNotNull()).withColumns({"retries": F.lit(k + 1), "fallbacks": F.lit(0)}))
+        left = rows.filter(F.col("output").isNull()).drop("output")
+    fallen = run_by_run(left, model).withColumns({"retries": F.lit(settings.max_retries), "fallbacks": F.lit(1)})
+    return done.unionByName(fallen.select(done.columns))
+
+
+RESULT = "doc_id string, html string, error string, segment_count long, total_source_tokens long, sum_requested_target_tokens long, batch_generation_budget long, batch_count long, retry_count long, fallback_count long, protected_run_count long, fingerprint string"
+
+
+def translate_html(pages: DataFrame, model: Callable | None = None, settings: Structured | None = None) -> DataFrame:
+    """RESULT for each page (doc_id, html): the translated document, or the class of what stopped it."""
+    settings = settings or Structured()
+    told = guarded(pages, settings)
+    done = translated(segmented(pages, settings), model, settings)
+    runs = F.size(F.filter("runs", lambda r: ~r["translate"]))
+    sums = done.groupBy("doc_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("segment_id", "output"))).alias("outputs"), F.count("*").alias("segment_count"), F.sum("token_count").alias("total_source_tokens"), F.sum("budget").alias("sum_requested_target_tokens"),
+        F.sum("bucket").alias("batch_generation_budget"), F.max("batch_index").alias("batch_count"), F.sum("retries").alias("retry_count"), F.sum("fallbacks").alias("fallback_count"), F.sum(runs).alias("protected_run_count"),
+    )
+    counts = ["segment_count", "total_source_tokens", "sum_requested_target_tokens", "batch_generation_budget", "batch_count", "retry_count", "fallback_count", "protected_run_count"]
+    rows = told.filter(F.col("error").isNull()).join(sums, "doc_id", "left").select("doc_id", "html", "outputs", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts])
+
+    def rebuild(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            html, errors, prints = [], [], []
+            for doc, source, outputs in zip(part["doc_id"], part["html"], part["outputs"], strict=True):
+                text, error, mark = None, None, None
+                try:
+                    tree, some, attrs = read(source, doc, settings)
+                    outputs = dict(outputs) if outputs is not None else {}
+                    if any(outputs.get(s.segment_id) is None for s in [*some, *attrs]):
+                        raise S.Rejected("a segment has no right translation")
+                    mark = tree.fingerprint(frozenset(settings.translatable_attributes))
+                    text = S.rebuilt(tree, some, outputs, attrs, settings.translatable_attributes)
+                except ValueError:
+                    error = "structured"
+                html.append(text)
+                errors.append(error)
+                prints.append(mark)
+            yield part.drop(columns=["outputs"]).assign(html=html, error=errors, fingerprint=prints)[[x.split()[0] for x in RESULT.split(", ")]]
+
+    stopped = told.filter(F.col("error").isNotNull()).select("doc_id", F.lit(None).cast("string").alias("html"), "error", *[F.lit(0).cast("long").alias(c) for c in counts], F.lit(None).cast("string").alias("fingerprint"))
+    return rows.mapInPandas(rebuild, RESULT).unionByName(stopped)
