@@ -54,13 +54,13 @@ def cjk_spans(spark, sf_dir):
 
 
 _FOUND_SQL = MARKED_SQL + ", " + ", ".join(
-    f"""x{i} AS (SELECT doc_id, '{k}' AS kind, regexp_extract_all(t, {p!s}) AS f, string_split_regex(t, {p!s}) AS g FROM m)"""
+    f"""x{i} AS (SELECT doc_id, '{k}' AS kind, {i} AS n, regexp_extract_all(t, {p!s}) AS f, string_split_regex(t, {p!s}) AS g FROM m)"""
     for i, (k, p) in enumerate((k, "'" + p.replace("'", "''") + "'") for k, p in P.IDENTIFIERS.items())
 ) + ", x AS (" + " UNION ALL ".join(f"SELECT * FROM x{i}" for i in range(len(P.IDENTIFIERS))) + """),
-y AS (SELECT doc_id, kind, f, g, unnest(range(1, len(f) + 1)) AS i FROM x),
-z AS (SELECT doc_id, kind, f[i] AS content, list_sum(list_transform(g[1:i], lambda s: length(s))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda s: length(s))), 0) AS start FROM y),
-w AS (SELECT doc_id, kind, content, CAST(start AS BIGINT) AS start, CAST(start + length(content) AS BIGINT) AS stop FROM z),
-s AS (SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM w AS o WHERE o.doc_id = w.doc_id AND o.stop > w.start AND (o.start < w.start OR (o.start = w.start AND (o.stop > w.stop OR (o.stop = w.stop AND o.kind < w.kind))))))"""
+y AS (SELECT doc_id, kind, n, f, g, unnest(range(1, len(f) + 1)) AS i FROM x),
+z AS (SELECT doc_id, kind, n, f[i] AS content, list_sum(list_transform(g[1:i], lambda s: length(s))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda s: length(s))), 0) AS start FROM y),
+w AS (SELECT doc_id, kind, n, content, CAST(start AS BIGINT) AS start, CAST(start + length(content) AS BIGINT) AS stop FROM z),
+s AS (SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM w AS o WHERE o.doc_id = w.doc_id AND o.stop > w.start AND (o.start < w.start OR (o.start = w.start AND (o.stop > w.stop OR (o.stop = w.stop AND o.n < w.n))))))"""
 
 
 @query(f"WITH {_FOUND_SQL} SELECT doc_id, start, stop, kind, content FROM s")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -83,11 +84,15 @@ def located(c: Column, pattern: str, kind: str) -> Column:
 
 
 def protected_spans(c: Column) -> Column:
-    """Identifiers of all kinds without overlap: the earliest start first, then the longest."""
-    found = F.concat(*[located(c, p, k) for k, p in P.IDENTIFIERS.items()])
-    ranked = F.array_sort(F.transform(found, lambda s: F.struct(s["start"], (s["start"] - s["stop"]).alias("shorter"), s["stop"], s["kind"], s["content"])))
-    shape = "array<struct<start:int,shorter:int,stop:int,kind:string,content:string>>"
-    free = F.aggregate(ranked, F.array().cast(shape), lambda kept, s: F.when(s["start"] >= F.coalesce(F.try_element_at(kept, F.lit(-1))["stop"], F.lit(-1)), F.concat(kept, F.array(s))).otherwise(kept))
+    """Identifiers of all kinds without overlap: the earliest start first, then the longest, then the kind listed first."""
+
+    def ranked(n: int) -> Callable[[Column], Column]:
+        return lambda s: F.struct(s["start"], (s["start"] - s["stop"]).alias("shorter"), F.lit(n).alias("n"), s["stop"], s["kind"], s["content"])
+
+    found = [F.transform(located(c, p, k), ranked(n)) for n, (k, p) in enumerate(P.IDENTIFIERS.items())]
+    ranked_all = F.array_sort(F.concat(*found))
+    shape = "array<struct<start:int,shorter:int,n:int,stop:int,kind:string,content:string>>"
+    free = F.aggregate(ranked_all, F.array().cast(shape), lambda kept, s: F.when(s["start"] >= F.coalesce(F.try_element_at(kept, F.lit(-1))["stop"], F.lit(-1)), F.concat(kept, F.array(s))).otherwise(kept))
     return F.transform(free, lambda s: F.struct(s["start"], s["stop"], s["kind"], s["content"]))
 
 
