@@ -28,35 +28,35 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import materialize, partitions, slices
 
 #: Bits per line and filter; hash functions; least and most bits of a filter (32 MB); bits of a piece.
 BITS_A_LINE, HASHES, MIN_BITS, MAX_BITS, PIECE = 16, 4, 1 << 20, 1 << 28, 1 << 19
 NO_ID = (1 << 63) - 1
-SPACE = " \t\n\x0b\x0c\r"
-LOWER = {i: i + 32 for i in range(65, 91)}
+SPACE = b" \t\n\x0b\x0c\r"
 
 
-def lines_of(text: str | None) -> list[str]:
-    return (text or "").split("\n")
+def lines_of(text: str | None) -> list[bytes]:
+    return (text or "").encode().split(b"\n")
 
 
-def keys_of(lines: list[str], min_chars: int) -> list[str | None]:
-    """The key of each line; None where it is too short to count."""
-    stripped = [x.strip(SPACE) for x in lines]
-    return [x.translate(LOWER) if len(x) >= min_chars else None for x in stripped]
+def keys_of(lines: list[bytes], min_chars: int) -> list[bytes | None]:
+    """The key of each line, as UTF-8; None where it is too short to count."""
+    keys = [x.strip(SPACE).lower() for x in lines]  # bytes.lower() changes A-Z only
+    return [k if len(k) >= 4 * min_chars or len(k) >= min_chars and len(k.decode()) >= min_chars else None for k in keys]
 
 
-def digest(key: str) -> bytes:
-    return hashlib.blake2b(key.encode(), digest_size=16).digest()
+def digest(key: bytes) -> bytes:
+    return hashlib.blake2b(key, digest_size=16).digest()
 
 
-def positions(keys: list[str], bits: int) -> np.ndarray:
+def positions(keys: list[bytes], bits: int) -> np.ndarray:
     """A row of HASHES bit positions for each key (bits: a power of two)."""
     from xxhash import xxh3_128_digest
 
-    h = np.frombuffer(b"".join(xxh3_128_digest(k.encode()) for k in keys), ">u8").astype(np.uint64).reshape(-1, 2)
+    h = np.frombuffer(b"".join(xxh3_128_digest(k) for k in keys), ">u8").astype(np.uint64).reshape(-1, 2)
     return ((h[:, :1] + np.arange(HASHES, dtype=np.uint64) * (h[:, 1:] | np.uint64(1))) & np.uint64(bits - 1)).astype(np.int64)
 
 
@@ -129,9 +129,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Columns of docs that have the names in ``counts`` are replaced.
     """
     spark = docs.sparkSession
+    docs = docs.drop(*counts)
     plain = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).alias("text"))
     found, bits = twice_filter(plain, min_chars)
     shared = spark.sparkContext.broadcast(found)
+    at = docs.columns.index(text_col)
+    done = StructType([*docs.schema.fields, StructField(counts[0], LongType()), StructField(counts[1], LongType())])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -139,29 +142,37 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             names = np.repeat(batch.column(0).to_numpy(), [len(x) for x in each])
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(list(chain.from_iterable(each)), pa.binary())], ["doc", "digest"])
 
-    @F.arrow_udf("boolean")
-    def suspect(text: pa.Array) -> pa.Array:
-        return pa.array([bool(suspects_of(t.as_py(), shared.value, bits, min_chars)) for t in text], pa.bool_())
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            texts = batch.column(at).to_pylist()
+            mask = pa.array([not suspects_of(t, shared.value, bits, min_chars) for t in texts], pa.bool_())
+            sizes = pa.array([(t or "").count("\n") + 1 for t in texts], pa.int64())
+            whole = pa.RecordBatch.from_arrays([*batch.columns, sizes, pa.array([0] * len(texts), pa.int64())], done.names)
+            yield whole.filter(mask)
+
+    def mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield batch.filter(pa.array([bool(suspects_of(t, shared.value, bits, min_chars)) for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    @F.arrow_udf("struct<total:long,dropped:long,text:string>")
-    def kept(text: pa.Array, drops: pa.Array) -> pa.Array:
-        rows = []
-        for t, d in zip(text, drops, strict=True):
-            t, d = t.as_py(), set(d.as_py() or ())
-            lines = lines_of(t)
-            stay = [x for x, k in zip(lines, keys_of(lines, min_chars), strict=True) if k is None or digest(k) not in d] if d else lines
-            rows.append({"total": len(lines), "dropped": len(lines) - len(stay), "text": t if len(stay) == len(lines) else "\n".join(stay)})
-        return pa.array(rows, pa.struct([("total", pa.int64()), ("dropped", pa.int64()), ("text", pa.string())]))
+    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            texts, total, gone = [], [], []
+            for t, drops in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                lines, drops = lines_of(t), set(drops or ())
+                stay = [x for x, k in zip(lines, keys_of(lines, min_chars), strict=True) if k is None or digest(k) not in drops] if drops else lines
+                texts.append(None if t is None else b"\n".join(stay))
+                total.append(len(lines))
+                gone.append(len(lines) - len(stay))
+            columns = batch.columns[:-1]
+            columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(gone, pa.int64())], done.names)
 
     suspects = materialize(plain.mapInArrow(find, "doc long, digest binary"), "suspects")
-    repeated = suspects.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("digest", "first")
+    repeated = materialize(suspects.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("digest", "first"), "repeated")
     drops = suspects.join(repeated, "digest").filter("doc > first").groupBy("doc").agg(F.collect_set("digest").alias("__drops")).withColumnRenamed("doc", "__doc")
-    asked = docs.withColumn("__suspect", suspect(F.col(text_col)))
-    clean = asked.filter(~F.col("__suspect")).withColumn("__drops", F.lit(None).cast("array<binary>"))
-    mixed = asked.filter("__suspect").withColumn("__key", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).join(drops, F.col("__key") == F.col("__doc"), "left").drop("__key", "__doc")
-    done = clean.unionByName(mixed).withColumn("__kept", kept(F.col(text_col), F.col("__drops")))
-    done = done.withColumns({counts[0]: F.col("__kept.total"), counts[1]: F.col("__kept.dropped"), text_col: F.col("__kept.text")})
-    return done.drop("__suspect", "__drops", "__kept")
+    asked = docs.mapInArrow(mixed, docs.schema).withColumn("__key", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)))
+    met = asked.join(drops, F.col("__key") == F.col("__doc"), "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__drops")
+    return docs.mapInArrow(clean, done).unionByName(met.mapInArrow(drop, done))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
