@@ -219,7 +219,8 @@ def simhash_components(docs: DataFrame, words: int = 5, width: int = 1, max_bits
     classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
     found = components(links(classes, width, max_bits, similarity))
     rooted = classes.join(found, classes.fp == found.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    # Written first, so that both sides of the join below are plain shuffles, of which a large group's can be split.
+    smallest = materialize(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "smallest")
     named = rooted.join(smallest, "root").select(F.col("fp").alias("class_fp"), "component_id")
     return prints.join(named, prints.fp == F.col("class_fp"), "left").select("doc_id", "fp", "component_id")
 
