@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import layout as L
@@ -189,3 +190,25 @@ def job_metadata_json(spark, sf_dir):
     jobs = rows.groupBy("doc_id").agg(regions.alias("regions"))
     record = F.struct(F.concat(F.lit("in/"), F.col("doc_id").cast("string"), F.lit(".jpg")).alias("source_path"), F.lit("completed").alias("status"), F.transform("regions", lambda r: r.dropFields("seq")).alias("regions"))
     return jobs.select("doc_id", F.to_json(record).alias("record"))
+
+
+@query(f"""WITH {_BOX_SQL}, c AS (SELECT doc_id, least(299, greatest(0, x)) AS a0, least(199, greatest(0, y)) AS b0, least(299, greatest(0, x + w)) AS a1, least(199, greatest(0, y + h)) AS b1 FROM b)
+SELECT doc_id, CAST((least(299, a1 + 3) - greatest(0, a0 - 3) + 1) * (least(199, b1 + 3) - greatest(0, b0 - 3) + 1) AS BIGINT) AS pixels FROM c""")
+def mask_pixels(spark, sf_dir):
+    """The masked pixels of each region, counted in the mask itself."""
+    from ..operators.imaging import text_mask
+
+    @F.pandas_udf("long")
+    def count(polygons: pd.Series) -> pd.Series:
+        return polygons.map(lambda p: int((text_mask((HEIGHT, WIDTH), [{"action": "remove", "polygon": [list(x) for x in p]}]) > 0).sum()))
+
+    return _boxes(spark, sf_dir).select("doc_id", count("polygon").alias("pixels"))
+
+
+@query()
+def diagnostics(spark, sf_dir):
+    """A record of each document's segments, bounded and fitted."""
+    from ..streaming.diagnostics import record
+
+    rows = lines(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", F.col("line").alias("source_text")))).alias("segments"), F.count("*").alias("segment_count"))
+    return rows.select("doc_id", record(F.to_json(F.struct("segment_count", "segments"))).alias("record"))
