@@ -50,26 +50,64 @@ def pieces_of(path: str) -> list[str]:
     return sorted({p for p in names if (w := p.removeprefix(START)).isalpha() and w == w.lower()} | {START})
 
 
+class Pieces:
+    """The vocabulary, to be looked up for all stretches of many words at once, by 64-bit hashes of their letters."""
+
+    def __init__(self, pieces: list[str]):
+        self.unknown = len(pieces)
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        by: dict[int, list[tuple[int, int]]] = {}
+        for i, piece in enumerate(pieces):
+            h = np.zeros(1, np.uint64)
+            for c in codes(piece):
+                h = stretched(h, c)
+            by.setdefault(len(piece), []).append((int(h[0]), i))
+        for n, some in by.items():
+            some.sort()
+            self.tables[n] = np.array([h for h, _ in some], np.uint64), np.array([i for _, i in some])
+        self.longest = max(by, default=1)
+
+    def arcs(self, words: list[str]) -> np.ndarray:
+        """Rows (word, first place, last place, piece); a letter that is no piece is the unknown one."""
+        letters = codes("".join(f"{START}{w}" for w in words))
+        sizes = np.array([len(w) + 1 for w in words], np.int64)
+        word = np.repeat(np.arange(len(words)), sizes)
+        place = np.arange(len(letters)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        at, h, out = np.arange(len(letters)), np.zeros(len(letters), np.uint64), []
+        for n in range(1, self.longest + 1):
+            fits = place[at] + n <= sizes[word[at]]
+            at, h = at[fits], h[fits]
+            if not len(at):
+                break
+            h = stretched(h, letters[at + n - 1])
+            known, index = self.tables.get(n, (np.empty(0, np.uint64), np.empty(0, np.int64)))
+            spot = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
+            hit = known[spot] == h if len(known) else np.zeros(len(h), bool)
+            piece = np.where(hit, index[spot] if len(known) else 0, self.unknown)
+            use = hit | (n == 1)
+            out.append(np.stack([word[at[use]], place[at[use]], place[at[use]] + n, piece[use]], axis=1))
+        return np.concatenate(out) if out else np.empty((0, 4), np.int64)
+
+
+def codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
+
+
+def stretched(h: np.ndarray, letter: np.ndarray) -> np.ndarray:
+    """Hashes of stretches that are one letter longer."""
+    x = (h + letter + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
 class Lattices:
-    """All segmentations of words, as arcs: word, first and last place, piece. The last piece is any unknown letter."""
-
-    def __init__(self, words: list[str], index: dict[str, int], longest: int):
-        unknown = len(index)
-        arcs: list[tuple[int, int, int, int]] = []
-        self.sizes = np.array([len(w) + 1 for w in words])
-        for n, w in enumerate(words):
-            w = START + w
-            size = len(w)
-            for a in range(size):
-                for b in range(a + 1, min(size, a + longest) + 1):
-                    if (p := index.get(w[a:b])) is not None:
-                        arcs.append((n, a, b, p))
-                    elif b == a + 1:
-                        arcs.append((n, a, b, unknown))
-        self.arcs = np.array(arcs, np.int64).reshape(-1, 4)
-        order = np.argsort(self.arcs[:, 2], kind="stable")
-        ends = self.arcs[order, 2]
-        self.by_end = [order[np.searchsorted(ends, j) : np.searchsorted(ends, j, "right")] for j in range(1, int(self.sizes.max(initial=0)) + 1)]
+    """All segmentations of words, as arcs."""
+
+    def __init__(self, words: list[str], pieces: Pieces):
+        self.sizes = np.array([len(w) + 1 for w in words], np.int64)
+        arcs = pieces.arcs(words)
+        self.arcs = arcs[np.argsort(arcs[:, 2], kind="stable")]
+        cuts = np.searchsorted(self.arcs[:, 2], np.arange(1, int(self.sizes.max(initial=0)) + 2))
+        self.by_end = [slice(a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def forward(self, p: np.ndarray) -> np.ndarray:
         """Sums over the segmentations of each word's beginnings (word, place)."""
@@ -101,9 +139,8 @@ class Lattices:
 
 def learnt(counts: dict[str, Counter], pieces: list[str]) -> dict[str, np.ndarray]:
     """Each language's piece probabilities (the last: an unknown letter) from its words' counts."""
-    index = {p: i for i, p in enumerate(pieces)}
-    longest = max(map(len, pieces))
-    lattices = {lang: (Lattices(list(c), index, longest), np.array(list(c.values()), float)) for lang, c in sorted(counts.items())}
+    known = Pieces(pieces)
+    lattices = {lang: (Lattices(list(c), known), np.array(list(c.values()), float)) for lang, c in sorted(counts.items())}
     size = len(pieces) + 1
     model = {lang: np.full(size, 1 / size) for lang in lattices}
     for _ in range(ROUNDS):
@@ -145,8 +182,7 @@ class Scorer:
 
     def __init__(self, langs: list[str], pieces: list[str], model: np.ndarray):
         self.langs, self.model = langs, model
-        self.index = {p: i for i, p in enumerate(pieces)}
-        self.longest = max(map(len, pieces), default=1)
+        self.pieces = Pieces(pieces)
         self.clear()
 
     def clear(self) -> None:
@@ -154,7 +190,7 @@ class Scorer:
         self.table = np.zeros((1024, len(self.langs)))
 
     def learn(self, words: list[str]) -> None:
-        lattice = Lattices(words, self.index, self.longest)
+        lattice = Lattices(words, self.pieces)
         some = np.stack([np.log(np.maximum(lattice.likelihood(p), 1e-300)) for p in self.model], axis=1)
         at = len(self.row)
         while len(self.table) < at + len(words):

@@ -28,13 +28,13 @@ def test_forward_sums_all_segmentations():
             total += prob
         return total
 
-    got = langid.Lattices(words, index, 3).likelihood(p)
+    got = langid.Lattices(words, langid.Pieces(pieces)).likelihood(p)
     assert np.allclose(got, [brute(w) for w in words])
 
 
 def test_expected_uses_match_numeric_derivative():
     pieces = sorted(["▁", "▁a", "a", "b", "ab", "ba"])
-    lattice = langid.Lattices(["abba", "bab"], {p: i for i, p in enumerate(pieces)}, 3)
+    lattice = langid.Lattices(["abba", "bab"], langid.Pieces(pieces))
     p, n = np.full(len(pieces) + 1, 0.2), np.array([3.0, 1.0])
     got = lattice.expected(p, n)
     for i in range(len(p)):
