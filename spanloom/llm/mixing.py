@@ -96,10 +96,10 @@ def mixed(docs: DataFrame, whole: bool = False, weights: tuple[float, ...] = WEI
 def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents that the mix takes, whole, each as often as it is repeated, with all columns of docs, range-sorted by training position.
 
-    Rows that share a doc_id share its copies too, so ids are expected to be unique; rows with a null id come once, last.
+    Rows that share a doc_id all get the copies of the one that the mix takes most of; rows with a null id come once, last.
     """
     spark = docs.sparkSession
-    plan = mixed(docs, True, id_col=id_col, text_col=text_col, source_col=source_col).filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).filter("taken > 0").select(F.col("doc_id").alias("__id"), F.explode("copies.position").alias("__position"))
+    plan = mixed(docs, True, id_col=id_col, text_col=text_col, source_col=source_col).filter("doc_id IS NOT NULL AND taken > 0").groupBy("doc_id").agg(F.max(F.struct(F.size("copies"), "copies")).alias("most")).select(F.col("doc_id").alias("__id"), F.explode("most.copies.position").alias("__position"))
     taken = docs.join(plan, F.col(id_col) == F.col("__id")).unionByName(docs.filter(F.col(id_col).isNull()).withColumns({"__id": F.lit(None).cast("long"), "__position": F.lit(2.0)}))
     return taken.repartitionByRange(partitions(spark), "__position", "__id").sortWithinPartitions("__position", "__id").select(docs.columns)
 

@@ -68,13 +68,15 @@ def fingerprint(text: str | None, words: int, width: int = 1) -> bytes:
 
 
 def fingerprints(docs: DataFrame, words: int, width: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (binary) of every whole text."""
+    """doc_id, text_hash, fp (binary) of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t, words, width) for t in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "fp"])
+            prints = [fingerprint(t, words, width) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints, pa.binary())], ["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp binary")
 
 
 @cache
@@ -214,15 +216,17 @@ def components(edges: DataFrame, name: str = "stars") -> DataFrame:
 
 
 def simhash_components(docs: DataFrame, words: int = 5, width: int = 1, max_bits: int = 4, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp, component_id for every document: the smallest doc_id that links reach from it."""
+    """doc_id, text_hash, fp, component_id, component_hash for every document: the smallest doc_id that links reach
+    from it, and the text (of rows that share that id, the one with the smallest hash) that stands for the group."""
     prints = materialize(fingerprints(docs, words, width, id_col, text_col), "fingerprints")
-    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash")))
+    classes = materialize(prints.groupBy("fp").agg(first.alias("first")), "classes")
     found = components(links(classes, width, max_bits, similarity))
-    rooted = classes.join(found, classes.fp == found.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    rooted = classes.join(found, classes.fp == found.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     # Written first, so that both sides of the join below are plain shuffles, of which a large group's can be split.
-    smallest = materialize(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "smallest")
-    named = rooted.join(smallest, "root").select(F.col("fp").alias("class_fp"), "component_id")
-    return prints.join(named, prints.fp == F.col("class_fp"), "left").select("doc_id", "fp", "component_id")
+    smallest = materialize(rooted.groupBy("root").agg(F.min("first").alias("least")), "smallest")
+    named = rooted.join(smallest, "root").select(F.col("fp").alias("class_fp"), F.col("least.doc_id").alias("component_id"), F.col("least.text_hash").alias("component_hash"))
+    return prints.join(named, prints.fp == F.col("class_fp"), "left").select("doc_id", "text_hash", "fp", "component_id", "component_hash")
 
 
 #: For shingle similarity 0.8: 256 bits, of which such a pair differs in 39 on average (deviation 6); 48 keeps 95 of 100 pairs at exactly 0.8, nearly all above.
@@ -232,13 +236,15 @@ PIPELINE = {"words": 5, "width": 4, "max_bits": 48, "similarity": 0.8}
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without all but one document of each group of near-duplicates (five-word shingles, similarity 0.8).
 
-    The smallest doc_id stays; of repeated rows with that id one stays. Rows with a null id have no name by
-    which to choose among them, so they all stay. All columns are kept as they are.
+    The smallest doc_id stays; of rows that share that id one stays (other texts under the same id, in other
+    groups, are documents of their own). Rows with a null id have no name by which to choose among them, so
+    they all stay. All columns are kept as they are.
     """
     found = simhash_components(docs, id_col=id_col, text_col=text_col, **PIPELINE)
-    drop = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__drop_id")).distinct()
-    named = docs.filter(F.col(id_col).isNotNull()).join(drop, F.col(id_col) == F.col("__drop_id"), "left_anti").dropDuplicates([id_col])
-    return named.unionByName(docs.filter(F.col(id_col).isNull()))
+    drop = found.filter("doc_id <> component_id OR text_hash <> component_hash").select(F.col("doc_id").alias("__drop_id"), F.col("text_hash").alias("__drop_hash")).distinct()
+    named = docs.filter(F.col(id_col).isNotNull()).withColumn("__hash", F.xxhash64(text_col))
+    kept = named.join(drop, (F.col(id_col) == F.col("__drop_id")) & (F.col("__hash") == F.col("__drop_hash")), "left_anti").dropDuplicates([id_col, "__hash"])
+    return kept.select(docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

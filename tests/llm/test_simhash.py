@@ -91,6 +91,12 @@ def test_deduplicated_keeps_one_of_each_group_and_all_columns(spark):
     assert "20" in ids and "21" not in ids and "22" in ids and ids.count("1") == 1 and "6" not in ids and ids.count("None") == 2
 
 
+def test_rows_that_share_an_id_but_not_a_text_are_documents_of_their_own(spark):
+    other = " ".join(f"other{i}" for i in range(80))
+    kept = simhash.deduplicated(documents(spark, [(1, PROSE), (2, PROSE), (2, other), (2, other)])).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == [(1, PROSE), (2, other)]
+
+
 def test_empty_table(spark):
     assert simhash.simhash_components(empty(spark)).count() == 0
     assert simhash.deduplicated(empty(spark)).count() == 0
