@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
@@ -34,8 +35,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let the driver's JVM find shuffles that nothing refers to any more, so that their files go before the next round."""
-    spark.sparkContext._jvm.System.gc()
+    """Let both of the driver's collectors find shuffles that nothing refers to any more, so that their files go before the next round."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:

@@ -35,7 +35,7 @@ START = "▁"
 
 
 def words_of(text: str | None) -> list[str]:
-    words = WORD.findall((text or "").lower())
+    words = [w for w in WORD.findall((text or "").lower()) if w.isalpha() or any(map(str.isalpha, w))]
     if any(len(w) > MAX_WORD for w in words):
         words = [w[i : i + MAX_WORD] for w in words for i in range(0, len(w), MAX_WORD)]
     return words
