@@ -11,6 +11,7 @@ from array import array
 from collections.abc import Iterator
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,6 +53,26 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def runs(batches: Iterator[pa.RecordBatch], key: int, most: int | None = None) -> Iterator[pa.Table]:
+    """Rows of one key each, from rows sorted by key; of at most ``most`` rows if given."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        keys = held.column(key).to_numpy()
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist()]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield from (held.slice(i, min(most or b, b - i)) for i in range(a, b, most or b))
+        held = held.slice(cuts[-1])
+        while most and held.num_rows >= 2 * most:
+            yield held.slice(0, most)
+            held = held.slice(most)
+    if held is not None and held.num_rows:
+        yield from (held.slice(i, most or held.num_rows) for i in range(0, held.num_rows, most or held.num_rows))
+
+
 #: A Latin word and the punctuation after it, which this vocabulary's splitter tells apart.
 PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)")
 

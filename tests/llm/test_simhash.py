@@ -115,3 +115,30 @@ def test_near_copies_at_the_threshold(spark):
     got = simhash.deduplicated(documents(spark, rows)).select(F.col("doc_id")).collect()
     ids = {r["doc_id"] for r in got}
     assert {2 * i for i in range(60)} <= ids and len(ids) <= 62
+
+
+@pytest.mark.parametrize(("chunk", "dense"), [(1024, 4000), (8, 4000), (1024, 0)])
+def test_verified_groups_are_those_of_the_exact_similarity(spark, monkeypatch, chunk, dense):
+    """Copies with one to many changed words: groups hold what 0.8 links and nothing below it."""
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    monkeypatch.setattr(simhash, "DENSE", dense)
+    rng = np.random.default_rng(8)
+    rows = []
+    for g in range(6):
+        words = [f"t{rng.integers(0, 9000)}" for _ in range(250)]
+        for _ in range(12):
+            copy = list(words)
+            for at in rng.choice(250, rng.integers(0, 14), replace=False):
+                copy[at] = f"new{rng.integers(0, 10**9)}"
+            rows.append((len(rows), " ".join(copy)))
+    sets = [set(simhash.shingles(t, 5).tolist()) for _, t in rows]
+    names = list(range(len(rows)))
+    root = lambda i: i if names[i] == i else root(names[i])
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = root(i), root(j)
+                names[max(a, b)] = min(a, b)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.simhash_components(documents(spark, rows), **simhash.PIPELINE).collect()}
+    assert [got[i] for i in range(len(rows))] == [root(i) for i in range(len(rows))]
+    assert 6 < len(set(got.values())) < 60
