@@ -12,10 +12,11 @@ from ..functions import text as T
 from ..operators.model import model_map
 
 
-def translate(df: DataFrame, text_col: str, model: Callable | None = None, style: Column | None = None, most_chars: int = 4000, most_tokens: int = 1024, clean: bool = True, retry: bool = False) -> DataFrame:
+def translate(df: DataFrame, text_col: str, model: Callable | None = None, style: Column | None = None, most_chars: int = 4000, most_tokens: int = 1024, clean: bool = True, retry: bool = False, held: list[DataFrame] | None = None) -> DataFrame:
     """df with translation and error. Rows that a guard stops never reach the model; nothing is cut.
 
-    A row whose output is degenerate is sent once more alone (retry), then fails; rows that passed aren't sent again.
+    A row whose output is degenerate is sent once more alone (retry), then fails; rows that passed aren't sent again:
+    the first pass is persisted, and given to ``held`` for a caller that lives on to release.
     """
     style = F.lit("sentence") if style is None else style
     done = T.preprocessed(F.col(text_col), most_chars)
@@ -28,6 +29,8 @@ def translate(df: DataFrame, text_col: str, model: Callable | None = None, style
     if retry:
         bad = F.col("error").isNull() & budget.degenerate(F.coalesce("translation", F.lit("")), F.col("__n"))
         out = out.persist()
+        if held is not None:
+            held.append(out)
         again = model_map(out.filter(bad).drop("translation"), "__text", "translation", model)
         again = again.withColumn("error", F.when(bad, "degenerate_output"))
         out = out.filter(~bad).unionByName(again.select(out.columns))

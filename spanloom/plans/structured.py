@@ -78,12 +78,18 @@ def run_by_run(rows: DataFrame, model: Callable | None) -> DataFrame:
     return rows.join(sums.select("segment_id", text.alias("output")), "segment_id")
 
 
-def translated(segments: DataFrame, model: Callable | None = None, settings: Structured | None = None) -> DataFrame:
-    """segments with output (null if none is right), retries and fallbacks."""
+def translated(segments: DataFrame, model: Callable | None = None, settings: Structured | None = None, held: list[DataFrame] | None = None) -> DataFrame:
+    """segments with output (null if none is right), retries and fallbacks.
+
+    What the model gave is persisted, so that it is asked once; ``held`` gets the persisted tables, for a caller
+    that lives on to release.
+    """
+    held = [] if held is None else held
     settings = settings or Structured()
     plan = batching.planned(segments.filter(F.col("error").isNull()).withColumn("seq", F.col("sequence_index") + 1), tokens="token_count", size=settings.batch_size)
     fine = F.coalesce(T.placeholder_check(F.col("output"), F.col("placeholder_order"))["ok"], F.lit(False))
     first = model_map(plan, "source_text", "output", model).withColumn("ok", fine).persist()
+    held.append(first)
     done = first.filter("ok").withColumns({"retries": F.lit(0), "fallbacks": F.lit(0)}).drop("ok")
     left = first.filter("NOT ok").drop("ok", "output")
     for k in range(settings.max_retries):
@@ -92,10 +98,10 @@ def translated(segments: DataFrame, model: Callable | None = None, settings: Str
         asked = F.aggregate("placeholder_order", F.col("source_text"), lambda s, t: F.replace(s, t, F.concat(other, F.substring(t, len(P.PREFIX) + 1, 20))))
         names = F.transform("placeholder_order", lambda t: F.concat(other, F.substring(t, len(P.PREFIX) + 1, 20)))
         rows = model_map(left.withColumn("asked", asked).withColumn("names", names), "asked", "got", model)
-        known = F.transform(T.matches(F.col("got"), P.ANY_PLACEHOLDER), lambda t: t)
-        again = F.coalesce(known == F.col("names"), F.lit(False))
+        again = F.coalesce(T.matches(F.col("got"), P.ANY_PLACEHOLDER) == F.col("names"), F.lit(False))
         back = T.restored(F.col("got"), F.col("names"), F.col("placeholder_order"))
         rows = rows.withColumn("output", F.when(again, back)).drop("asked", "names", "got").persist()
+        held.append(rows)
         done = done.unionByName(rows.filter(F.col("output").isNotNull()).withColumns({"retries": F.lit(k + 1), "fallbacks": F.lit(0)}))
         left = rows.filter(F.col("output").isNull()).drop("output")
     fallen = run_by_run(left, model).withColumns({"retries": F.lit(settings.max_retries), "fallbacks": F.lit(1)})
@@ -105,11 +111,11 @@ def translated(segments: DataFrame, model: Callable | None = None, settings: Str
 RESULT = "doc_id string, html string, error string, segment_count long, total_source_tokens long, sum_requested_target_tokens long, batch_generation_budget long, batch_count long, retry_count long, fallback_count long, protected_run_count long, fingerprint string"
 
 
-def translate_html(pages: DataFrame, model: Callable | None = None, settings: Structured | None = None) -> DataFrame:
+def translate_html(pages: DataFrame, model: Callable | None = None, settings: Structured | None = None, held: list[DataFrame] | None = None) -> DataFrame:
     """RESULT for each page (doc_id, html): the translated document, or the class of what stopped it."""
     settings = settings or Structured()
     told = guarded(pages, settings)
-    done = translated(segmented(pages, settings), model, settings)
+    done = translated(segmented(pages, settings), model, settings, held)
     runs = F.size(F.filter("runs", lambda r: ~r["translate"]))
     sums = done.groupBy("doc_id").agg(
         F.map_from_entries(F.collect_list(F.struct("segment_id", "output"))).alias("outputs"), F.count("*").alias("segment_count"), F.sum("token_count").alias("total_source_tokens"), F.sum("budget").alias("sum_requested_target_tokens"),

@@ -27,8 +27,8 @@ def status_of(error_class: Column) -> Column:
     return F.when(error_class.isNull(), F.lit(200).cast("long")).otherwise(F.coalesce(table[error_class], F.lit(500).cast("long")))
 
 
-def answers(requests: DataFrame, model: Callable | None = None) -> DataFrame:
-    """An answer for every request; each fails alone."""
+def answers(requests: DataFrame, model: Callable | None = None, held: list[DataFrame] | None = None) -> DataFrame:
+    """An answer for every request; each fails alone. ``held`` gets the tables that are persisted on the way."""
     from ..plans.structured import translate_html
 
     kind = F.coalesce("format", F.lit("plain"))
@@ -37,9 +37,9 @@ def answers(requests: DataFrame, model: Callable | None = None) -> DataFrame:
     rows = rows.withColumn("__bad", bad)
     refused = rows.filter(F.col("__bad").isNotNull()).select("request_id", F.lit(None).cast("string").alias("translation"), F.col("__bad").alias("error_class"))
     good = rows.filter(F.col("__bad").isNull())
-    plain = translate(good.filter("__kind = 'plain'"), "text", model, F.col("__style.style"), retry=model is not None)
+    plain = translate(good.filter("__kind = 'plain'"), "text", model, F.col("__style.style"), retry=model is not None, held=held)
     plain = plain.select("request_id", "translation", F.when(F.col("error") == "degenerate_output", "quality").when(F.col("error").isNotNull(), "input").when(F.col("translation").isNull(), "other").alias("error_class"))
-    html = translate_html(good.filter("__kind = 'html'").select(F.col("request_id").alias("doc_id"), F.col("text").alias("html")), model)
+    html = translate_html(good.filter("__kind = 'html'").select(F.col("request_id").alias("doc_id"), F.col("text").alias("html")), model, held=held)
     html = html.select(F.col("doc_id").alias("request_id"), F.col("html").alias("translation"), F.col("error").alias("error_class"))
     out = refused.unionByName(plain).unionByName(html)
     return out.withColumn("status", status_of(F.col("error_class"))).withColumn("code", F.coalesce("error_class", F.lit("ok")))
@@ -50,7 +50,10 @@ def serve(spark: SparkSession, requests: str, results: str, checkpoint: str, mod
     stream = spark.readStream.schema(REQUEST).json(requests)
 
     def answer(batch: DataFrame, number: int) -> None:
-        answers(batch, model).write.mode("overwrite").parquet(f"{results}/batch={number}")
+        held: list[DataFrame] = [batch.persist()]
+        answers(batch, model, held).write.mode("overwrite").parquet(f"{results}/batch={number}")
+        for df in held:
+            df.unpersist()
 
     writer = stream.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
