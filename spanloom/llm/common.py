@@ -8,15 +8,18 @@ import re
 import tempfile
 import uuid
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import islice
+from typing import Any, TypeVar
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 #: Longest chunk that the tokenizer's cache keeps, and entries after which it keeps only the first quarter, where the common words are (bounds a worker's memory).
-CACHED_CHARS, CACHED_WORDS = 48, 800_000
+CACHED_CHARS, CACHED_WORDS = 48, 700_000
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -141,11 +144,17 @@ class WordCodec:
         return b"".join(found)
 
 
-_codecs: dict[str, WordCodec] = {}
+def codec(path: str) -> WordCodec:
+    return worker_state(f"codec {path}", lambda: WordCodec(path))
 
 
-def codec(path: str) -> WordCodec:
-    """One per worker process, which Spark reuses from task to task."""
-    if path not in _codecs:
-        _codecs[path] = WordCodec(path)
-    return _codecs[path]
+_state: dict[str, Any] = {}
+
+
+def worker_state(name: str, build: Callable[[], T]) -> T:
+    """What an operator keeps in a worker process, which Spark reuses from task to task. A worker holds one operator's at a time."""
+    if name not in _state:
+        _state.clear()
+        gc.collect()
+        _state[name] = build()
+    return _state[name]

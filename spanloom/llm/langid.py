@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, worker_state
 
 TRAIN_DOCS, ROUNDS, MAX_WORD, CACHED = 1500, 4, 40, 300_000
 FLOOR, SMOOTH = 1e-6, 200.0
@@ -216,20 +216,15 @@ class Scorer:
         return out
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def identified(docs: DataFrame, model: tuple[list[str], list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score of every whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     number = shared._jbroadcast.id()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if number not in _scorers:
-            _scorers.clear()
-            _scorers[number] = Scorer(*shared.value)
+        scorer = worker_state(f"langid {number}", lambda: Scorer(*shared.value))
         for batch in slices(batches, 128):
-            done = _scorers[number].predict(batch.column(1).to_pylist())
+            done = scorer.predict(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in done], pa.string()), pa.array([s for _, s in done], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, release, scratch, slices
+from .common import materialize, partitions, release, scratch, slices, worker_state
 
 ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
 BLOCK_WORDS, BUCKET_WORDS, CACHED = 1 << 20, 1 << 21, 400_000
@@ -61,19 +61,17 @@ def chained(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-_hashes: dict[str, int] = {}
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
+def word_hashes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
+    """64-bit hashes; ``known`` keeps those of words that were met."""
     from xxhash import xxh64_intdigest
 
-    found = list(map(_hashes.get, words))
+    found = list(map(known.get, words))
     if None in found:
-        if len(_hashes) > CACHED:
-            _hashes.clear()
+        if len(known) > CACHED:
+            known.clear()
         for i, h in enumerate(found):
             if h is None:
-                found[i] = _hashes[words[i]] = xxh64_intdigest(words[i])
+                found[i] = known[words[i]] = xxh64_intdigest(words[i])
     return np.fromiter(found, np.uint64, len(found))
 
 
@@ -84,6 +82,7 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         from pyspark import TaskContext
 
         part, seq, names, held, size = TaskContext.get().partitionId(), 0, [], [], 0
+        known = worker_state("words", dict)
 
         def block() -> pa.RecordBatch:
             words, at = np.unique(np.concatenate(held), return_inverse=True)
@@ -94,7 +93,7 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         for batch in slices(batches):
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 names.append(name)
-                held.append(word_hashes((text or "").encode().split()))
+                held.append(word_hashes((text or "").encode().split(), known))
                 size += len(held[-1])
                 if size >= BLOCK_WORDS:
                     yield block()

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, worker_state
 
 HASH_BITS, TRAIN_DOCS, EPOCHS, CACHED = 18, 6000, 3, 400_000
 ALPHA, BETA, L1, L2, SCALE = 0.3, 1.0, 0.002, 0.002, 4.0
@@ -136,14 +136,8 @@ def score_of(of: Features, text: str | None, weights: np.ndarray, bias: float) -
     return 1 / (1 + np.exp(-min(35.0, max(-35.0, logit))))
 
 
-_features: list[Features] = []
-
-
 def features() -> Features:
-    """One per worker process."""
-    if not _features:
-        _features.append(Features())
-    return _features[0]
+    return worker_state("quality", Features)
 
 
 def scored(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -162,12 +156,14 @@ def keep_good(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str =
     """The rows of docs, with all their columns, whose score reaches the threshold."""
     shared = docs.sparkSession.sparkContext.broadcast((model[0].astype(np.float32), model[1]))
 
-    @F.arrow_udf("double")
-    def score(text: pa.Array) -> pa.Array:
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, (w, bias) = features(), shared.value
-        return pa.array([score_of(of, t.as_py(), w, bias) for t in text], pa.float64())
+        for batch in slices(batches):
+            yield batch.filter(pa.array([score_of(of, t, w, bias) >= threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.filter(score(F.col(text_col)) >= threshold)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def remainder(by: int) -> Column:
