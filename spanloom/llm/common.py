@@ -20,6 +20,8 @@ T = TypeVar("T")
 
 #: Longest chunk that the tokenizer's cache keeps, and entries after which it keeps only the first quarter, where the common words are (bounds a worker's memory).
 CACHED_CHARS, CACHED_WORDS = 48, 700_000
+#: Bytes of text that one batch brings to a Python worker.
+BATCH_BYTES = 8 << 20
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -45,6 +47,11 @@ def release(spark: SparkSession) -> None:
         spark.sparkContext._jvm.System.gc()
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES in this session: texts may be long, and a task holds a few batches at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

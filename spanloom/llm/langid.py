@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, worker_state
+from .common import bounded_batches, slices, worker_state
 
 TRAIN_DOCS, ROUNDS, MAX_WORD, CACHED = 1500, 4, 40, 300_000
 FLOOR, SMOOTH = 1e-6, 200.0
@@ -153,6 +153,7 @@ def learnt(counts: dict[str, Counter], pieces: list[str]) -> dict[str, np.ndarra
 
 def fitted(docs: DataFrame, learn: Column, vocabulary: str, train_docs: int = TRAIN_DOCS) -> tuple[list[str], list[str], np.ndarray]:
     """Languages, pieces, and log probabilities are learnt from the rows for which ``learn`` holds."""
+    bounded_batches(docs.sparkSession)
     usable = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & learn)
     sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:

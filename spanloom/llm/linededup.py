@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import materialize, partitions, slices
+from .common import bounded_batches, materialize, partitions, slices
 
 #: Bits per line and filter; hash functions; least and most bits of a filter (32 MB); bits of a piece.
 BITS_A_LINE, HASHES, MIN_BITS, MAX_BITS, PIECE = 16, 4, 1 << 20, 1 << 28, 1 << 19
@@ -129,6 +129,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Columns of docs that have the names in ``counts`` are replaced.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.drop(*counts)
     plain = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).alias("text"))
     found, bits = twice_filter(plain, min_chars)

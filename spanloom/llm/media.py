@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from .common import scratch, slices
+from .common import bounded_batches, scratch, slices
 
 WIDTH, RETRIES, RANGE_BYTES, BATCH_BYTES = 64, 3, 16 << 20, 8 << 20
 ENTRY = np.dtype([("id", "<i8"), ("has_id", "u1"), ("offset", "<u8"), ("length", "<u8"), ("crc", "<u4"), ("n_bytes", "<u8")])
@@ -251,6 +251,7 @@ def write_archives(docs: DataFrame, folder: str, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for _, n in both], pa.int64()), pa.array([to_png(p) for p, _ in both], pa.binary())], ["doc_id", "n_bytes", "media"])
 
     register(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA).write.format("spanarchive").mode("append").save(folder)
 
 

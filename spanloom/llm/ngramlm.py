@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, release, scratch, slices, worker_state
+from .common import bounded_batches, materialize, partitions, release, scratch, slices, worker_state
 
 ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
 BLOCK_WORDS, BUCKET_WORDS, CACHED = 1 << 20, 1 << 21, 400_000
@@ -102,6 +102,7 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             yield block()
 
     spark = docs.sparkSession
+    bounded_batches(spark)
     name = f"lm_blocks_{uuid.uuid4().hex}"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, BLOCK)
     rows.write.option("compression", "zstd").option("path", scratch(spark, name)).bucketBy(partitions(spark), "block").sortBy("block").saveAsTable(name)

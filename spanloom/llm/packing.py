@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import codec, partitions, slices
+from .common import bounded_batches, codec, partitions, slices
 
 WINDOW, SHARD_CHARS = 2048, 2_000_000
 K1, B = 1.5, 0.75
@@ -83,6 +83,7 @@ def pack(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, i
 
 def dealt(docs: DataFrame, vocabulary: str, end_id: int, shards: int, id_col: str, text_col: str) -> DataFrame:
     """shard, doc_id, ids (16-bit) of every whole text with its end id."""
+    bounded_batches(docs.sparkSession)
     end = end_id.to_bytes(2, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, worker_state
+from .common import bounded_batches, slices, worker_state
 
 HASH_BITS, TRAIN_DOCS, EPOCHS, CACHED = 18, 6000, 3, 400_000
 ALPHA, BETA, L1, L2, SCALE = 0.3, 1.0, 0.002, 0.002, 4.0
@@ -103,6 +103,7 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS)
 
 def fitted(docs: DataFrame, labels: DataFrame, learn: Column, train_docs: int = TRAIN_DOCS, label_col: str = "quality") -> tuple[np.ndarray, float]:
     """The model from the labelled documents for which ``learn`` (over doc_id) holds, about train_docs of them at most."""
+    bounded_batches(docs.sparkSession)
     usable = labels.select("doc_id", F.col(label_col).cast("int").alias("label")).filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & learn)
     share = min(1.0, train_docs / max(1, usable.count()))
     order = F.xxhash64("doc_id", F.lit(10))

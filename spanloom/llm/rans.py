@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import codec, materialize, partitions, release, scratch, slices
+from .common import bounded_batches, codec, materialize, partitions, release, scratch, slices
 
 BITS, LANES, STRIDE, BLOCK_TOKENS = 20, 2048, 128, 1 << 20
 LOW = np.uint64(1 << 31)
@@ -134,6 +134,7 @@ class Coder:
 
 def tokenized(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids (little-endian 16-bit) of every whole text, each with end_id appended."""
+    bounded_batches(docs.sparkSession)
     end = end_id.to_bytes(2, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, release, runs, slices
+from .common import bounded_batches, materialize, partitions, release, runs, slices
 
 PIVOTS, CHUNK, LARGE = 16, 1024, 1 << 16
 #: Pairs from which on, and entries up to which, common shingles come from one matrix product.
@@ -88,6 +88,7 @@ def fingerprints(docs: DataFrame, words: int, width: int = 1, id_col: str = "doc
             prints = [fingerprint(t, words, width) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints, pa.binary())], ["doc_id", "text_hash", "fp"])
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, text_hash long, fp binary")
 
