@@ -42,10 +42,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files make fewer splits than there are (small inputs); else as it is."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, t."""
     text = F.when(F.col("doc_id") % 2 == 0, F.translate("text", *HAN_FOR_VOWELS)).otherwise(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", text.alias("t"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", text.alias("t"))
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +65,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, t: the documents as they are, every fifth with the samples after it."""
     text = F.concat("text", F.when(F.col("doc_id") % 5 == 0, SAMPLES).otherwise(""))
-    return table(spark, sf_dir, "documents").select("doc_id", text.alias("t"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", text.alias("t"))
 
 
 def by_doc(*order: str) -> W:

@@ -11,14 +11,14 @@ from ..operators import segmenting as S
 from ..operators.html_tree import Tree, compare
 from ..plans import structured
 from ..sources.config import Structured
-from .base import HAN_FOR_VOWELS, query, table
+from .base import HAN_FOR_VOWELS, query, spread, table
 
 ATTRS = ("title", "alt")
 
 
 def _pages(spark, sf_dir):
     """doc_id, html; every fourth page holds an image and a link with attributes to translate, and a part that isn't."""
-    rows = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("doc_id"), "page_id", "html")
+    rows = spread(table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("doc_id"), "page_id", "html"))
     more = F.lit('<p>型号 ABC-12345 支持 USB-C 接口</p><img alt="加厚防水" src="a.png"><div class="notranslate">不译 <b>这里</b></div><p translate="no">保留</p><pre>代码 x=1</pre>')
     parts = F.regexp_extract_all("html", F.lit(r"(?s)<script.*?</script>|<style.*?</style>|<[^>]*>|&[A-Za-z0-9#]+;|[^<&]+|[<&]"), F.lit(0))
     han = F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[<&]"), p).otherwise(F.translate(p, *HAN_FOR_VOWELS))), "")

@@ -25,4 +25,6 @@ SENTENCE_ENDS, CLAUSE_ENDS = "。！？；!?;…", "，,：:、"
 
 CONTENT_TOKEN = HAN + r"|[A-Za-z0-9'_-]+"
 WORD = r"(?U)\w+(?:[-']\w+)*"
-EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: What every identifier has some of; most texts have none, and need no closer look.
+HINT = r"(?iU)\d|@|www\.|https?://|usb-c|hdmi|bluetooth|wi-fi"

@@ -13,7 +13,12 @@ from . import patterns as P
 
 def strip(c: Column) -> Column:
     """Without white space of any script at both ends."""
-    return F.regexp_replace(c, P.EDGE_SPACE, "")
+    return F.btrim(c, F.lit(P.WHITE))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def matches(c: Column, pattern: str) -> Column:
@@ -34,10 +39,10 @@ def mostly_english(c: Column) -> Column:
 
 def region_action(text: Column, terms: list[str], patterns: list[str], default: str = "translate", keep_english: bool = True) -> Column:
     """struct(action, reason) of a text region, the first rule that holds."""
+    rule = lambda action, reason: F.struct(F.lit(action).alias("action"), F.lit(reason).alias("reason"))
     t = strip(F.coalesce(text, F.lit("")))
     named = reduce(lambda a, b: a | b, [F.contains(F.lower(t), F.lit(x.lower())) for x in terms], F.lit(False))
     formed = reduce(lambda a, b: a | b, [t.rlike(rf"^(?:{p})\z") for p in patterns], F.lit(False))
-    rule = lambda action, reason: F.struct(F.lit(action).alias("action"), F.lit(reason).alias("reason"))
     return (
         F.when(t == "", rule("remove", "empty_text"))
         .when(F.lit(keep_english) & mostly_english(t), rule("preserve", "already_target_language"))
@@ -49,9 +54,13 @@ def region_action(text: Column, terms: list[str], patterns: list[str], default:
 
 def preprocessed(c: Column, most: int = 4000) -> Column:
     """struct(text, error): line ends unified, blank lines collapsed, ends stripped; error names what makes it unusable."""
-    t = strip(F.regexp_replace(F.regexp_replace(c, r"\r\n|\r", "\n"), r"\n{3,}", "\n\n"))
-    error = F.when(c.isNull(), "null_input").when(t == "", "empty_input").when(F.length(t) > most, "input_too_long")
-    return F.struct(F.when(error.isNull(), t).alias("text"), error.alias("error"))
+    ends = F.replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+
+    def told(t: Column) -> Column:
+        error = F.when(t.isNull(), "null_input").when(t == "", "empty_input").when(F.length(t) > most, "input_too_long")
+        return F.struct(F.when(error.isNull(), t).alias("text"), error.alias("error"))
+
+    return let(strip(F.regexp_replace(ends, r"\n{3,}", "\n\n")), told)
 
 
 def content_tokens(c: Column) -> Column:
@@ -92,8 +101,9 @@ def protected_spans(c: Column) -> Column:
     found = [F.transform(located(c, p, k), ranked(n)) for n, (k, p) in enumerate(P.IDENTIFIERS.items())]
     ranked_all = F.array_sort(F.concat(*found))
     shape = "array<struct<start:int,shorter:int,n:int,stop:int,kind:string,content:string>>"
+    none = F.array().cast(shape)
     free = F.aggregate(ranked_all, F.array().cast(shape), lambda kept, s: F.when(s["start"] >= F.coalesce(F.try_element_at(kept, F.lit(-1))["stop"], F.lit(-1)), F.concat(kept, F.array(s))).otherwise(kept))
-    return F.transform(free, lambda s: F.struct(s["start"], s["stop"], s["kind"], s["content"]))
+    return F.transform(F.when(c.rlike(P.HINT), free).otherwise(none), lambda s: F.struct(s["start"], s["stop"], s["kind"], s["content"]))
 
 
 def token(kind: str, n: Column) -> Column:

@@ -26,8 +26,7 @@ ANY_TOKEN = re.compile(P.ANY_PLACEHOLDER)
 #: What is held back in a text: other characters than CJK, without the white space at their ends.
 HELD = re.compile(f"[^{P.CJK_PY}\\s](?:[^{P.CJK_PY}]*[^{P.CJK_PY}\\s])?")
 IDENTIFIERS = [re.compile(p) for p in P.IDENTIFIERS.values()]
-#: What every identifier has some of; most stretches have none, and need no closer look.
-HINT = re.compile(r"\d|@|www\.|https?://|usb-c|hdmi|bluetooth|wi-fi", re.IGNORECASE)
+HINT = re.compile(P.HINT.replace("(?iU)", "(?i)"))
 
 
 def measure(text: str) -> int:
