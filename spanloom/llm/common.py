@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 T = TypeVar("T")
 
 #: Longest chunk that the tokenizer's cache keeps, and entries after which it keeps only the first quarter, where the common words are (bounds a worker's memory).
-CACHED_CHARS, CACHED_WORDS = 48, 700_000
+CACHED_CHARS, CACHED_WORDS = 48, 1_000_000
 #: Bytes of text that one batch brings to a Python worker.
 BATCH_BYTES = 8 << 20
 
