@@ -1,12 +1,16 @@
 """Operator 7: packing token sequences by lexical retrieval.
 
-Documents are dealt into shards of about SHARD_CHARS characters by a hash. Each shard builds a BM25 inverted
-index of its documents (terms: token ids). The first document of a window is its seed; while the window has
-room, the unused document that BM25 ranks next for the seed goes in, cut where the window ends; what is left
-of a cut document begins, and is the seed of, the next window. So every window but a shard's last is full.
+Documents are dealt into shards of about SHARD_CHARS characters by content, so that those BM25 ranks high for
+each other meet: each is the sum of its terms' BM25 weights times random signs in DIMS dimensions, and goes to the
+nearest of two levels of centroids, fitted on a bounded sample. Small clusters that follow each other share a shard;
+one of more than two shards' size is split by a hash. Each shard builds a BM25 inverted index of its documents
+(terms: token ids; document frequencies and mean length are the corpus's). The first document of a window is its
+seed; while the window has room, the unused document that BM25 ranks next for the seed goes in, cut where the
+window ends; what is left of a cut document begins, and is the seed of, the next window. So every window but a
+shard's last is full. Neighbours in other shards aren't candidates: README gives the measured loss.
 
 Each id of each document lies in exactly one piece. Shards are independent tasks of bounded size, so the
-number of documents, a hot source or many copies only make more shards; copies are dealt apart by a counter.
+number of documents, a hot source or many copies only make more shards.
 
 Defined cases: null or empty text has its end id only; null doc_id stays null; repeated rows are documents
 of their own; a document longer than a window fills several; ties of rank go to the earlier doc_id; an empty
@@ -17,23 +21,38 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, codec, partitions, slices
+from .common import bounded_batches, codec, materialize, partitions, slices
 
 WINDOW, SHARD_CHARS = 2048, 2_000_000
 K1, B = 1.5, 0.75
+#: Dimensions of a document's content vector; sampled documents a cluster and at most; rounds of fitting.
+DIMS, PER_CLUSTER, SAMPLE, ROUNDS = 128, 32, 131_072, 8
 RESULT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+class Corpus(NamedTuple):
+    """What BM25 needs to know of the whole corpus."""
+
+    docs: int
+    df: np.ndarray
+    mean: float
+
+    def weight(self, term: np.ndarray, tf: np.ndarray, size: np.ndarray) -> np.ndarray:
+        idf = np.log1p((self.docs - self.df + 0.5) / (self.df + 0.5))
+        return idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / self.mean))
+
+
 class Index:
-    """BM25 inverted index over the shard's documents."""
+    """BM25 inverted index over the shard's documents; they are the corpus unless one is given."""
 
-    def __init__(self, docs: list[np.ndarray]):
+    def __init__(self, docs: list[np.ndarray], corpus: Corpus | None = None):
         both = [np.unique(d, return_counts=True) for d in docs]
         self.terms = [t for t, _ in both]
         doc = np.repeat(np.arange(len(docs)), [len(t) for t in self.terms])
@@ -43,8 +62,7 @@ class Index:
         df = np.bincount(term, minlength=65536)
         self.first = np.concatenate([[0], np.cumsum(df)])
         size = np.array([len(d) for d in docs], float)
-        idf = np.log1p((len(docs) - df + 0.5) / (df + 0.5))
-        self.weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[self.doc] / size.mean()))
+        self.weight = (corpus or Corpus(len(docs), df, size.mean())).weight(term, tf, size[self.doc])
 
     def ranked(self, seed: int) -> np.ndarray:
         """All documents, best first, for the seed's terms."""
@@ -54,9 +72,9 @@ class Index:
         return np.argsort(-np.bincount(self.doc[at], self.weight[at], minlength=len(self.terms)), kind="stable")
 
 
-def pack(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
+def pack(docs: list[np.ndarray], window: int = WINDOW, corpus: Corpus | None = None) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of a shard's documents."""
-    index, used, out = Index(docs), np.zeros(len(docs), bool), []
+    index, used, out = Index(docs, corpus), np.zeros(len(docs), bool), []
     nexts = iter(range(len(docs)))
     seq = off = 0
     d, pos, seed, rank = next(nexts), 0, 0, None
@@ -81,8 +99,8 @@ def pack(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, i
             seed, rank = d, None
 
 
-def dealt(docs: DataFrame, vocabulary: str, end_id: int, shards: int, id_col: str, text_col: str) -> DataFrame:
-    """shard, doc_id, ids (16-bit) of every whole text with its end id."""
+def encoded(docs: DataFrame, vocabulary: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
+    """salt, chars, doc_id, ids (16-bit) of every whole text with its end id."""
     bounded_batches(docs.sparkSession)
     end = end_id.to_bytes(2, "little")
 
@@ -92,29 +110,138 @@ def dealt(docs: DataFrame, vocabulary: str, end_id: int, shards: int, id_col: st
 
         of, part, row = codec(vocabulary), TaskContext.get().partitionId(), 0
         for batch in slices(batches):
-            ids = [of.encode(t) + end for t in batch.column(1).to_pylist()]
-            shard = [xxh64_intdigest(f"{name} {part} {row + i}") % shards for i, name in enumerate(batch.column(0).to_pylist())]
+            ids = [of.encode(t) + end for t in batch.column(2).to_pylist()]
+            salt = [xxh64_intdigest(f"{name} {part} {row + i}") >> 1 for i, name in enumerate(batch.column(1).to_pylist())]
             row += len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), batch.column(0), pa.array(ids, pa.binary())], ["shard", "doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(salt, pa.int64()), batch.column(0), batch.column(1), pa.array(ids, pa.binary())], ["salt", "chars", "doc_id", "ids"])
+
+    chars = F.coalesce(F.length(text_col), F.lit(0)).cast("long") + 4
+    return docs.select(chars.alias("chars"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "salt long, chars long, doc_id long, ids binary")
+
+
+def counted(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes of the documents; and document, term and frequency of each term of each."""
+    size = np.array([len(x) // 2 for x in ids])
+    key, tf = np.unique(np.repeat(np.arange(len(ids)) << 16, size) | np.frombuffer(b"".join(ids), "<u2"), return_counts=True)
+    return size, key >> 16, key & 0xFFFF, tf
+
+
+def corpus_of(rows: DataFrame) -> Corpus:
+    """Document frequencies over all rows (ids)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(65538, np.int64)  # the last two: documents, tokens
+        for batch in slices(batches):
+            size, _, term, _ = counted(batch.column(0).to_pylist())
+            found += np.append(np.bincount(term, minlength=65536), [len(size), size.sum()])
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(found)), pa.array(found[found > 0])], ["term", "n"])
+
+    found = np.zeros(65538, np.int64)
+    for term, n in rows.select("ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n")).collect():
+        found[term] = n
+    return Corpus(int(found[65536]), found[:65536], max(1.0, found[65537] / max(1, found[65536])))
+
+
+def signs() -> np.ndarray:
+    return np.random.default_rng(7).choice(np.array([-1, 1], np.float32), (65536, DIMS))
+
+
+def content(ids: list[bytes], corpus: Corpus, sign: np.ndarray) -> np.ndarray:
+    """Unit vectors of documents, near where they share terms of much BM25 weight."""
+    size, doc, term, tf = counted(ids)
+    weight = corpus.weight(term, tf, size[doc]).astype(np.float32)
+    x = np.add.reduceat(sign[term] * weight[:, None], np.searchsorted(doc, np.arange(len(ids))), axis=0)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+
+
+def centroids(x: np.ndarray, k: int) -> np.ndarray:
+    """Spherical k-means."""
+    rng = np.random.default_rng(7)
+    middle = x[rng.choice(len(x), min(k, len(x)), replace=False)]
+    for _ in range(ROUNDS):
+        mine = np.concatenate([(x[a : a + 8192] @ middle.T).argmax(axis=1) for a in range(0, len(x), 8192)])
+        total = np.zeros_like(middle)
+        np.add.at(total, mine, x)
+        norm = np.linalg.norm(total, axis=1, keepdims=True)
+        middle = np.where(norm > 1e-9, total / np.maximum(norm, 1e-9), middle)
+    return middle
+
+
+class Clusters:
+    """Two levels of centroids; about ``leaves`` at the lower one, numbered through."""
+
+    def __init__(self, x: np.ndarray, leaves: int):
+        self.top = centroids(x, max(1, round(leaves**0.5)))
+        mine = (x @ self.top.T).argmax(axis=1)
+        parts = [x[mine == t] for t in range(len(self.top))]
+        self.low = [centroids(p, max(1, round(leaves * len(p) / len(x)))) if len(p) else self.top[t : t + 1] for t, p in enumerate(parts)]
+        self.first = np.concatenate([[0], np.cumsum([len(m) for m in self.low])])
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        mine, out = (x @ self.top.T).argmax(axis=1), np.empty(len(x), np.int64)
+        for t in np.unique(mine):
+            out[mine == t] = self.first[t] + (x[mine == t] @ self.low[t].T).argmax(axis=1)
+        return out
+
+
+def shared_out(sizes: dict[int, int], shard_chars: int) -> list[tuple[int, int, int]]:
+    """(leaf, first shard, number of shards): leaves that follow each other share one, a leaf of more than two shards' size has several."""
+    out, at, held = [], 0, 0
+    for leaf, size in sorted(sizes.items()):
+        if held and held + size > shard_chars:
+            at, held = at + 1, 0
+        parts = -(-size // shard_chars) if size > 2 * shard_chars else 1
+        out.append((leaf, at, parts))
+        at, held = (at + parts, 0) if parts > 1 else (at, held + size)
+    return out
+
+
+def dealt(rows: DataFrame, corpus: Corpus, shards: int, shard_chars: int) -> DataFrame:
+    """shard, doc_id, ids: documents of like content in one shard."""
+    spark = rows.sparkSession
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sign = signs()
+        for batch in slices(batches, 256):
+            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in content(batch.column(0).to_pylist(), corpus, sign)], pa.binary())], ["x"])
+
+    most = min(SAMPLE, max(4096, 2 * shards * PER_CLUSTER))
+    some = rows.filter(F.pmod(F.xxhash64("salt"), F.lit(1_000_000)) < int(1_200_000 * most / max(1, corpus.docs)) + 1).select("ids").limit(most)
+    x = np.frombuffer(b"".join(bytes(r["x"]) for r in some.mapInArrow(vectors, "x binary").collect()), np.float32).reshape(-1, DIMS)
+    if not len(x):
+        x = np.zeros((1, DIMS), np.float32)
+    clusters = Clusters(x, 2 * shards)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sign = signs()
+        for batch in slices(batches, 256):
+            leaf = clusters.of(content(batch.column(3).to_pylist(), corpus, sign))
+            yield pa.RecordBatch.from_arrays([pa.array(leaf), *batch.columns], ["leaf", "salt", "chars", "doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "shard long, doc_id long, ids binary")
+    placed = materialize(rows.select("salt", "chars", "doc_id", "ids").mapInArrow(run, "leaf long, salt long, chars long, doc_id long, ids binary"), "leaves")
+    sizes = {r["leaf"]: r["chars"] for r in placed.groupBy("leaf").agg(F.sum("chars").alias("chars")).collect()}
+    plan = spark.createDataFrame(shared_out(sizes, shard_chars), "leaf long, first long, parts long")
+    return placed.join(F.broadcast(plan), "leaf").select((F.col("first") + F.pmod("salt", "parts")).alias("shard"), "doc_id", "ids")
 
 
 def packed(docs: DataFrame, vocabulary: str, end_id: int, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", shard_chars: int = SHARD_CHARS) -> DataFrame:
     """The pieces of all documents: RESULT's columns, sequence_id unique over all shards."""
     spark = docs.sparkSession
-    total = docs.agg(F.sum(F.coalesce(F.length(text_col), F.lit(0)) + 4)).first()[0] or 0
+    rows = materialize(encoded(docs, vocabulary, end_id, id_col, text_col), "ids")
+    total = rows.agg(F.sum("chars")).first()[0] or 0
     shards = max(1, -(-total // shard_chars))
+    corpus = corpus_of(rows) if shards > 1 else None
 
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
         rows = sorted(zip(table.column("doc_id").to_pylist(), table.column("ids").to_pylist(), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
         texts = [np.frombuffer(r[1], "<u2").astype("<u4") for r in rows]
-        found = [(rows[d][0], a, n, zlib.crc32(texts[d][a : a + n].tobytes()), len(texts[d]), (shard << 32) | seq, off) for d, a, n, seq, off in pack(texts, window)]
+        found = [(rows[d][0], a, n, zlib.crc32(texts[d][a : a + n].tobytes()), len(texts[d]), (shard << 32) | seq, off) for d, a, n, seq, off in pack(texts, window, corpus)]
         return pa.table([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], [x.split()[0] for x in RESULT.split(", ")])
 
-    rows = dealt(docs, vocabulary, end_id, shards, id_col, text_col).repartition(min(shards, max(partitions(spark), shards // 8)), "shard")
-    return rows.groupBy("shard").applyInArrow(run, RESULT)
+    placed = dealt(rows, corpus, shards, shard_chars) if corpus else rows.select(F.lit(0).cast("long").alias("shard"), "doc_id", "ids")
+    placed = placed.repartition(min(shards, max(partitions(spark), shards // 8)), "shard")
+    return placed.groupBy("shard").applyInArrow(run, RESULT)
 
 
 def op7_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,6 +48,23 @@ def test_neighbours_share_windows():
     assert by == {0: {0, 2}, 1: {1, 3}}
 
 
+def test_near_copies_share_windows_whatever_the_number_of_shards(spark):
+    """Pairs of one rare vocabulary each, in a corpus of many shards."""
+    rng = np.random.default_rng(9)
+    letters = np.array(list("bcdfghjklmnpqrstvwxz"))
+    rows = []
+    for i in range(60):
+        words = ["".join(rng.choice(letters, 6)) for _ in range(60)]
+        rows += [(i, " ".join(words)), (1000 + i, " ".join(words[:55] + words[:5]))]
+    window = 2 * max(len(ids_of(t)) for _, t in rows)
+    got = packing.packed(documents(spark, rows), VOCABULARY, 1, window=window, shard_chars=4000).collect()
+    assert len({r["sequence_id"] >> 32 for r in got}) > 8
+    by = {}
+    for r in got:
+        by.setdefault(r["doc_id"], set()).add(r["sequence_id"])
+    assert sum(bool(by[i] & by[1000 + i]) for i in range(60)) >= 50
+
+
 def test_ranks_are_bm25():
     rng = np.random.default_rng(0)
     docs = [rng.integers(0, 30, rng.integers(5, 40)).astype(np.uint32) for _ in range(20)]
