@@ -7,7 +7,7 @@ Equal fingerprints collapse into one class first. Then
 2. classes meet in buckets. For few allowed bits these are pigeonhole keys (of ``blocks`` bit blocks at
    least ``blocks - max_bits`` are equal in a linked pair, so some combination of equal blocks is a key of
    both: no link is lost). For many allowed bits they are keys of sampled bits, as many tables as reach
-   ``recall`` for a pair at the similarity asked for. A pivot table alone would need all pairs;
+   ``recall`` over all pairs at the similarity asked for, whose distances spread, at any number of classes. A pivot table alone would need all pairs;
 3. in a bucket, sorted by the first pivot's distance, a pair is discarded as soon as any coordinate
    differs by more than max_bits (triangle inequality); the survivors' distance is verified exactly;
 4. a bucket gives only the links that join its parts (a spanning forest), never all its pairs. Buckets of
@@ -104,6 +104,16 @@ def pivot_table(fps: np.ndarray) -> np.ndarray:
     return np.stack([np.bitwise_count(fps ^ p).sum(axis=1, dtype=np.int16) for p in pivots(fps.shape[1])], axis=1)
 
 
+def found_share(bits: int, r: int, tables: int, max_bits: int, similarity: float) -> float:
+    """The share of pairs at this similarity that meet in a table of r sampled bits, over the (binomial) spread of their distances."""
+    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    out = 0.0
+    for d in range(max_bits + 1):
+        meet = math.comb(bits - d, r) / math.comb(bits, r)
+        out += math.comb(bits, d) * differ**d * (1 - differ) ** (bits - d) * (1 - (1 - meet) ** tables)
+    return out
+
+
 def bit_sets(width: int, max_bits: int, similarity: float, recall: float, classes: int) -> list[list[int]]:
     """The bits of each table's key."""
     bits = 64 * width
@@ -111,9 +121,12 @@ def bit_sets(width: int, max_bits: int, similarity: float, recall: float, classe
     if math.comb(blocks, 2) <= 32:
         cut = [bits * i // blocks for i in range(blocks + 1)]
         return [[*range(cut[a], cut[a + 1]), *range(cut[b], cut[b + 1])] for a, b in combinations(range(blocks), 2)]
-    agree = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
     r = min(40, max(10, math.ceil(math.log2(max(2, classes)) - 1)))
-    tables = math.ceil(math.log(1 - recall) / math.log1p(-(agree**r)))
+    tables = 1
+    while found_share(bits, r, tables, max_bits, similarity) < recall:
+        tables += 1 + tables // 100
+        if tables > 1 << 18:
+            raise ValueError("no number of key tables reaches this recall within max_bits")
     rng = np.random.default_rng(42)
     return [sorted(rng.choice(bits, r, replace=False).tolist()) for _ in range(tables)]
 

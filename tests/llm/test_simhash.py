@@ -142,3 +142,23 @@ def test_verified_groups_are_those_of_the_exact_similarity(spark, monkeypatch, c
     got = {r["doc_id"]: r["component_id"] for r in simhash.simhash_components(documents(spark, rows), **simhash.PIPELINE).collect()}
     assert [got[i] for i in range(len(rows))] == [root(i) for i in range(len(rows))]
     assert 6 < len(set(got.values())) < 60
+
+
+@pytest.mark.parametrize("documents_", [10_000, 1_000_000, 30_000_000])
+def test_recall_at_the_threshold_does_not_depend_on_the_number_of_classes(documents_):
+    """Pairs planted at similarity 0.80 to 0.82 meet in a table of keys within max_bits."""
+    rng = np.random.default_rng(10)
+    pairs = []
+    for _ in range(1200):
+        words = [f"t{x}" for x in rng.integers(0, 10**9, 300)]
+        other = list(words)
+        for at in range(20, 300, 50):
+            other[at] = "zzz"
+        a, b = (set(simhash.shingles(" ".join(w), 5).tolist()) for w in (words, other))
+        assert 0.8 <= len(a & b) / len(a | b) <= 0.82
+        pairs.append([np.unpackbits(np.frombuffer(simhash.fingerprint(" ".join(w), 5, 4), np.uint8)) for w in (words, other)])
+    differ = np.array([a ^ b for a, b in pairs])
+    met = np.zeros(len(pairs), bool)
+    for s in simhash.bit_sets(4, 56, 0.8, 0.99, documents_):
+        met |= ~differ[:, s].any(axis=1)
+    assert (met & (differ.sum(axis=1) <= 56)).mean() >= 0.985
