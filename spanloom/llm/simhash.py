@@ -1,7 +1,8 @@
 """Operator 5: SimHash near-duplicates found with pivot distance tables.
 
 Fingerprints: the majority bits of the XXH64 hashes (seed 42) of word shingles, ``64 * width`` bits.
-Equal fingerprints collapse into one class first. Then
+Equal fingerprints collapse into one class first (where similarity is verified, only those of equal shingle sets:
+a digest of the set follows the fingerprint in the class's name). Then
 
 1. every class gets its row of the pivot table: Hamming distances to PIVOTS reference fingerprints;
 2. classes meet in buckets. For few allowed bits these are pigeonhole keys (of ``blocks`` bit blocks at
@@ -68,7 +69,11 @@ def shingles(text: str | None, words: int) -> np.ndarray:
 
 def fingerprint(text: str | None, words: int, width: int = 1) -> bytes:
     """Big-endian bytes of the fingerprint."""
-    h = shingles(text, words)
+    return voted(shingles(text, words), width)
+
+
+def voted(h: np.ndarray, width: int) -> bytes:
+    """The majority bits of hashes h."""
     n = len(h)
     if not n:
         return bytes(8 * width)
@@ -80,12 +85,20 @@ def fingerprint(text: str | None, words: int, width: int = 1) -> bytes:
     return np.packbits(2 * votes > n, axis=1).tobytes()
 
 
-def fingerprints(docs: DataFrame, words: int, width: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash, fp (binary) of every whole text."""
+def named(text: str | None, words: int, width: int) -> bytes:
+    """The fingerprint and a digest of the shingle set: texts of the same name have similarity 1."""
+    from xxhash import xxh3_128_digest
+
+    h = shingles(text, words)
+    return voted(h, width) + xxh3_128_digest(np.unique(h).astype("<u8").tobytes())
+
+
+def fingerprints(docs: DataFrame, words: int, width: int = 1, id_col: str = "doc_id", text_col: str = "text", sets: bool = False) -> DataFrame:
+    """doc_id, text_hash, fp (binary) of every whole text; with ``sets``, a digest of its shingle set follows in fp."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            prints = [fingerprint(t, words, width) for t in batch.column(2).to_pylist()]
+            prints = [(named if sets else fingerprint)(t, words, width) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints, pa.binary())], ["doc_id", "text_hash", "fp"])
 
     bounded_batches(docs.sparkSession)
@@ -189,7 +202,7 @@ def links(classes: DataFrame, width: int, max_bits: int, similarity: float = 0.8
         held = None
 
         def joined(group: np.ndarray, raw: np.ndarray) -> pa.RecordBatch:
-            pairs = forest(group, raw.view(">u8").astype(np.uint64).reshape(len(group), -1), max_bits)
+            pairs = forest(group, raw.view(">u8").astype(np.uint64).reshape(len(group), -1)[:, :width], max_bits)
             return edges_of([r.tobytes() for r in raw], pairs)
 
         for batch in slices(batches, 8192):
@@ -275,7 +288,7 @@ def alike(fps: np.ndarray, sets: list[np.ndarray], max_bits: int, similarity: fl
     return out
 
 
-def similar(docs: DataFrame, classes: DataFrame, found: DataFrame, words: int, max_bits: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+def similar(docs: DataFrame, classes: DataFrame, found: DataFrame, words: int, width: int, max_bits: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
     """a, b: links among the classes of each component found, of texts whose shingle sets are that similar."""
     spark = docs.sparkSession
     groups = found.select("node", "root").unionByName(found.select(F.col("root").alias("node"), "root").distinct())
@@ -293,7 +306,7 @@ def similar(docs: DataFrame, classes: DataFrame, found: DataFrame, words: int, m
         for group in runs(slices(batches), 0):
             if group.num_rows > 1:
                 names = group.column(1).to_pylist()
-                fps = np.frombuffer(b"".join(names), ">u8").astype(np.uint64).reshape(len(names), -1)
+                fps = np.frombuffer(b"".join(names), ">u8").astype(np.uint64).reshape(len(names), -1)[:, :width]
                 each = [np.frombuffer(x, np.uint64) for x in group.column(2).to_pylist()]
                 yield edges_of(names, alike(fps, each, max_bits, similarity))
 
@@ -323,17 +336,17 @@ def components(edges: DataFrame, name: str = "stars") -> DataFrame:
 def simhash_components(docs: DataFrame, words: int = 5, width: int = 1, max_bits: int = 4, similarity: float = 0.8, verify: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, fp, component_id, component_hash for every document: the smallest doc_id that links reach
     from it, and the text (of rows that share that id, the one with the smallest hash) that stands for the group."""
-    prints = materialize(fingerprints(docs, words, width, id_col, text_col), "fingerprints")
+    prints = materialize(fingerprints(docs, words, width, id_col, text_col, verify), "fingerprints")
     first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash")))
     classes = materialize(prints.groupBy("fp").agg(first.alias("first")), "classes")
     found = components(links(classes, width, max_bits, similarity))
     if verify:
-        found = components(similar(docs, classes, found, words, max_bits, similarity, id_col, text_col))
+        found = components(similar(docs, classes, found, words, width, max_bits, similarity, id_col, text_col))
     rooted = classes.join(found, classes.fp == found.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     # Written first, so that both sides of the join below are plain shuffles, of which a large group's can be split.
     smallest = materialize(rooted.groupBy("root").agg(F.min("first").alias("least")), "smallest")
     named = rooted.join(smallest, "root").select(F.col("fp").alias("class_fp"), F.col("least.doc_id").alias("component_id"), F.col("least.text_hash").alias("component_hash"))
-    return prints.join(named, prints.fp == F.col("class_fp"), "left").select("doc_id", "text_hash", "fp", "component_id", "component_hash")
+    return prints.join(named, prints.fp == F.col("class_fp"), "left").select("doc_id", "text_hash", F.substring("fp", 1, 8 * width).alias("fp"), "component_id", "component_hash")
 
 
 #: For shingle similarity 0.8: 256 bits, of which such a pair differs in 39 on average (deviation 6); 56 lets through nearly all, to be verified.

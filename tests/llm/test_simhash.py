@@ -162,3 +162,16 @@ def test_recall_at_the_threshold_does_not_depend_on_the_number_of_classes(docume
     for s in simhash.bit_sets(4, 56, 0.8, 0.99, documents_):
         met |= ~differ[:, s].any(axis=1)
     assert (met & (differ.sum(axis=1) <= 56)).mean() >= 0.985
+
+
+def test_texts_of_equal_fingerprints_have_names_of_their_own(monkeypatch):
+    monkeypatch.setattr(simhash, "voted", lambda h, width: bytes(8 * width))
+    a, b = (" ".join(f"{k}w{i}" for i in range(100)) for k in "ab")
+    assert simhash.named(a, 5, 4) != simhash.named(b, 5, 4)
+    assert simhash.named(a, 5, 4) == simhash.named(a.upper(), 5, 4)
+
+
+def test_a_long_run_of_one_token_makes_no_near_duplicate(spark):
+    rows = [(k, " ".join(["0"] * 524 + [f"{k}w{i}" for i in range(500)])) for k in range(3)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.simhash_components(documents(spark, [*rows, (9, rows[0][1])]), **simhash.PIPELINE).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 9: 0}
