@@ -1,6 +1,7 @@
 """Operator 5: SimHash near-duplicates found with pivot distance tables.
 
-Fingerprints: the majority bits of the XXH64 hashes (seed 42) of word shingles, ``64 * width`` bits.
+Fingerprints: the majority bits of the XXH64 hashes (seed 42) of word shingles, ``64 * width`` bits
+(where similarity is verified, of the distinct ones, of which the similarity is).
 Equal fingerprints collapse into one class first (where similarity is verified, only those of equal shingle sets:
 a digest of the set follows the fingerprint in the class's name). Then
 
@@ -86,11 +87,11 @@ def voted(h: np.ndarray, width: int) -> bytes:
 
 
 def named(text: str | None, words: int, width: int) -> bytes:
-    """The fingerprint and a digest of the shingle set: texts of the same name have similarity 1."""
+    """The fingerprint of the shingle set, without repeats, and a digest of it: texts of the same name have similarity 1."""
     from xxhash import xxh3_128_digest
 
-    h = shingles(text, words)
-    return voted(h, width) + xxh3_128_digest(np.unique(h).astype("<u8").tobytes())
+    h = np.unique(shingles(text, words))
+    return voted(h, width) + xxh3_128_digest(h.astype("<u8").tobytes())
 
 
 def fingerprints(docs: DataFrame, words: int, width: int = 1, id_col: str = "doc_id", text_col: str = "text", sets: bool = False) -> DataFrame:

@@ -175,3 +175,14 @@ def test_a_long_run_of_one_token_makes_no_near_duplicate(spark):
     rows = [(k, " ".join(["0"] * 524 + [f"{k}w{i}" for i in range(500)])) for k in range(3)]
     got = {r["doc_id"]: r["component_id"] for r in simhash.simhash_components(documents(spark, [*rows, (9, rows[0][1])]), **simhash.PIPELINE).collect()}
     assert got == {0: 0, 1: 1, 2: 2, 9: 0}
+
+
+def test_a_passage_repeated_in_one_copy_does_not_hide_it(spark):
+    """The same sets of shingles but for the joints; one passage is 20 times in the copy."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for g in range(10):
+        words = [f"t{x}" for x in rng.integers(0, 10**9, 300)]
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(words[:160] + words[100:160] * 19 + words[160:]))]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.simhash_components(documents(spark, rows), **simhash.PIPELINE).collect()}
+    assert got == {i: i // 2 * 2 for i in range(20)}
