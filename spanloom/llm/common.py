@@ -25,9 +25,12 @@ BATCH_BYTES = 8 << 20
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share; where that is unset (tests), below a folder of our own."""
+    """A new folder below spark.checkpoint.dir, which all executors share. Where that is unset a local session gets a
+    temporary folder of its own; on a cluster, whose executors would each write to their own disk, it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spanloom-')}"
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/spanloom/{name}-{uuid.uuid4().hex}"
@@ -37,7 +40,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read that: cuts lineage, survives lost executors, computes once."""
     path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store, which only Spark's file systems may reach."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete what ``materialize`` wrote for tables that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "scratch_path", None):
+            removed(df.sparkSession, path)
 
 
 def release(spark: SparkSession) -> None:
@@ -93,16 +112,17 @@ class WordCodec:
     word_bpe_49k never merges across white space, so the ids of a text are those of its chunks between
     blanks and line ends, one after another; each worker encodes a chunk once and keeps it. A chunk that is
     a Latin word with punctuation after it goes to the library's model in these two parts, lower-cased, which
-    spares normaliser and splitter; any other goes through the whole tokenizer. Special tokens' strings count
-    as ordinary text. Tests hold this against encoding whole texts.
+    spares normaliser and splitter; any other goes through the whole tokenizer. A special token's string gives
+    that token's id, as the library has it (``literal_specials``: it counts as ordinary text). Tests hold this
+    against encoding whole texts.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, literal_specials: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = literal_specials
         if self.tokenizer.get_vocab_size(True) > 65536:
             raise ValueError("ids of this vocabulary need more than 16 bits")
         self.model = self.tokenizer.model
@@ -118,8 +138,14 @@ class WordCodec:
         return ids
 
     def chunk(self, chunk: str) -> bytes:
-        if m := PLAIN.fullmatch(chunk):
+        body = chunk[:-1] if chunk[-1] in ",.;:!?" else chunk
+        if body.isascii() and body.isalpha():
+            word, tail = body.lower(), chunk[len(body) :]
+        elif m := PLAIN.fullmatch(chunk):
             word, tail = m[1].lower(), m[2]
+        else:
+            word = None
+        if word is not None:
             ids = self.words.get(word)
             if ids is None:
                 ids = self.word(word)

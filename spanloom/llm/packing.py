@@ -12,9 +12,14 @@ shard's last is full. Neighbours in other shards aren't candidates: README gives
 Each id of each document lies in exactly one piece. Shards are independent tasks of bounded size, so the
 number of documents, a hot source or many copies only make more shards.
 
+``in_order``: the table's order (its files by name and their rows, as a range-sorted table is written) is a
+curriculum. It is cut into at most PHASES stretches of equal length, each of which has shards of its own, and
+sequences are numbered by stretch: content decides within a stretch only. A table that isn't read from files
+has no order and is one stretch.
+
 Defined cases: null or empty text has its end id only; null doc_id stays null; repeated rows are documents
-of their own; a document longer than a window fills several; ties of rank go to the earlier doc_id; an empty
-table gives an empty result; other columns are ignored.
+of their own; a document longer than a window, however long, fills several (its shard is then as long as it
+is); ties of rank go to the earlier doc_id; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,15 +30,19 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, codec, materialize, partitions, slices
+from .common import bounded_batches, codec, discard, materialize, partitions, slices
 
 WINDOW, SHARD_CHARS = 2048, 2_000_000
 K1, B = 1.5, 0.75
 #: Dimensions of a document's content vector; sampled documents a cluster and at most; rounds of fitting.
 DIMS, PER_CLUSTER, SAMPLE, ROUNDS = 128, 32, 131_072, 8
+#: Stretches of an ordered table; entries and documents up to which a shard's scores come from one matrix product, and what an entry of it costs against one of a posting list.
+PHASES, MATRIX, TOGETHER, CHEAPER = 16, 16_000_000, 4096, 150
 RESULT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -50,26 +59,44 @@ class Corpus(NamedTuple):
 
 
 class Index:
-    """BM25 inverted index over the shard's documents; they are the corpus unless one is given."""
+    """BM25 inverted index over the shard's documents; they are the corpus unless one is given.
+
+    Where posting lists are so full that walking them for every seed costs more than one product of the matrix of
+    weights with that of occurrences, the scores of all seeds come from that product.
+    """
 
     def __init__(self, docs: list[np.ndarray], corpus: Corpus | None = None):
         both = [np.unique(d, return_counts=True) for d in docs]
         self.terms = [t for t, _ in both]
         doc = np.repeat(np.arange(len(docs)), [len(t) for t in self.terms])
         term, tf = np.concatenate(self.terms).astype(np.int64), np.concatenate([c for _, c in both]).astype(float)
-        order = np.argsort(term, kind="stable")
-        self.doc, term, tf = doc[order], term[order], tf[order]
         df = np.bincount(term, minlength=65536)
-        self.first = np.concatenate([[0], np.cumsum(df)])
         size = np.array([len(d) for d in docs], float)
-        self.weight = (corpus or Corpus(len(docs), df, size.mean())).weight(term, tf, size[self.doc])
-
-    def ranked(self, seed: int) -> np.ndarray:
-        """All documents, best first, for the seed's terms."""
+        weight = (corpus or Corpus(len(docs), df, size.mean())).weight(term, tf, size[doc])
+        letters = np.flatnonzero(df)
+        n, self.scores = len(docs), None
+        seeds = min(n, size.sum() / WINDOW + 1)
+        if n <= TOGETHER and n * len(letters) <= MATRIX and n * n * len(letters) < CHEAPER * seeds * (df.astype(float) ** 2).sum() / n:
+            table = np.zeros((n, len(letters)), np.float32)
+            table[doc, np.searchsorted(letters, term)] = weight
+            self.scores = (table > 0).astype(np.float32) @ table.T
+        else:
+            order = np.argsort(term, kind="stable")
+            self.doc, self.weight = doc[order], weight[order]
+            self.first = np.concatenate([[0], np.cumsum(df)])
+
+    def scored(self, seed: int) -> np.ndarray:
+        """The score of every document for the seed's terms."""
+        if self.scores is not None:
+            return self.scores[seed]
         t = self.terms[seed].astype(np.int64)
         a, n = self.first[t], self.first[t + 1] - self.first[t]
         at = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
-        return np.argsort(-np.bincount(self.doc[at], self.weight[at], minlength=len(self.terms)), kind="stable")
+        return np.bincount(self.doc[at], self.weight[at], minlength=len(self.terms))
+
+    def ranked(self, seed: int) -> np.ndarray:
+        """All documents, best first; scores that differ by rounding only are ties."""
+        return np.argsort(-np.round(self.scored(seed), 3), kind="stable")
 
 
 def pack(docs: list[np.ndarray], window: int = WINDOW, corpus: Corpus | None = None) -> list[tuple[int, int, int, int, int]]:
@@ -99,8 +126,22 @@ def pack(docs: list[np.ndarray], window: int = WINDOW, corpus: Corpus | None = N
             seed, rank = d, None
 
 
-def encoded(docs: DataFrame, vocabulary: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """salt, chars, doc_id, ids (16-bit) of every whole text with its end id."""
+def stretches(docs: DataFrame, phases: int, chars: Column) -> DataFrame:
+    """docs with __phase: the stretch, by characters, of the table's order that a row's file begins in; one row a file is numbered."""
+    try:
+        rows = docs.withColumn("__file", F.col("_metadata.file_name"))
+    except AnalysisException:
+        return docs.withColumn("__phase", F.lit(0).cast("long"))
+    files = materialize(rows.groupBy("__file").agg(F.sum(chars).alias("chars")), "files")
+    order, whole = W.orderBy("__file"), W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    before = F.sum("chars").over(order) - F.col("chars")
+    plan = files.select(F.col("__file").alias("__name"), F.floor(before * phases / F.sum("chars").over(whole)).cast("long").alias("__phase"))
+    plan = materialize(plan, "stretches")
+    return rows.join(F.broadcast(plan) if plan.count() <= 100_000 else plan, F.col("__file") == F.col("__name")).drop("__file", "__name")
+
+
+def encoded(docs: DataFrame, vocabulary: str, end_id: int, id_col: str, text_col: str, in_order: bool, shard_chars: int) -> DataFrame:
+    """phase, salt, chars, doc_id, ids (16-bit) of every whole text with its end id."""
     bounded_batches(docs.sparkSession)
     end = end_id.to_bytes(2, "little")
 
@@ -110,13 +151,17 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int, id_col: str, text_col
 
         of, part, row = codec(vocabulary), TaskContext.get().partitionId(), 0
         for batch in slices(batches):
-            ids = [of.encode(t) + end for t in batch.column(2).to_pylist()]
-            salt = [xxh64_intdigest(f"{name} {part} {row + i}") >> 1 for i, name in enumerate(batch.column(1).to_pylist())]
+            ids = [of.encode(t) + end for t in batch.column(3).to_pylist()]
+            salt = [xxh64_intdigest(f"{name} {part} {row + i}") >> 1 for i, name in enumerate(batch.column(2).to_pylist())]
             row += len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(salt, pa.int64()), batch.column(0), batch.column(1), pa.array(ids, pa.binary())], ["salt", "chars", "doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(salt, pa.int64()), batch.column(1), batch.column(2), pa.array(ids, pa.binary())], ["phase", "salt", "chars", "doc_id", "ids"])
 
     chars = F.coalesce(F.length(text_col), F.lit(0)).cast("long") + 4
-    return docs.select(chars.alias("chars"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "salt long, chars long, doc_id long, ids binary")
+    phase = F.lit(0).cast("long")
+    if in_order:
+        phases = max(1, min(PHASES, (docs.agg(F.sum(chars)).first()[0] or 0) // shard_chars))
+        docs, phase = stretches(docs, phases, chars), F.col("__phase")
+    return docs.select(phase.alias("phase"), chars.alias("chars"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "phase long, salt long, chars long, doc_id long, ids binary")
 
 
 def counted(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -147,10 +192,12 @@ def signs() -> np.ndarray:
 
 
 def content(ids: list[bytes], corpus: Corpus, sign: np.ndarray) -> np.ndarray:
-    """Unit vectors of documents, near where they share terms of much BM25 weight."""
+    """Unit vectors of documents, near where they share terms of much BM25 weight: their weights times the terms' signs."""
     size, doc, term, tf = counted(ids)
-    weight = corpus.weight(term, tf, size[doc]).astype(np.float32)
-    x = np.add.reduceat(sign[term] * weight[:, None], np.searchsorted(doc, np.arange(len(ids))), axis=0)
+    letters = np.flatnonzero(np.bincount(term, minlength=65536))
+    table = np.zeros((len(ids), len(letters)), np.float32)
+    table[doc, np.searchsorted(letters, term)] = corpus.weight(term, tf, size[doc])
+    x = table @ sign[letters]
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
@@ -184,14 +231,14 @@ class Clusters:
         return out
 
 
-def shared_out(sizes: dict[int, int], shard_chars: int) -> list[tuple[int, int, int]]:
-    """(leaf, first shard, number of shards): leaves that follow each other share one, a leaf of more than two shards' size has several."""
-    out, at, held = [], 0, 0
-    for leaf, size in sorted(sizes.items()):
-        if held and held + size > shard_chars:
+def shared_out(sizes: dict[tuple[int, int], int], shard_chars: int) -> list[tuple[int, int, int, int]]:
+    """(phase, leaf, first shard, number of shards): a phase's leaves that follow each other share one, a leaf of more than two shards' size has several."""
+    out, at, held, last = [], 0, 0, None
+    for (phase, leaf), size in sorted(sizes.items()):
+        if held and (held + size > shard_chars or phase != last):
             at, held = at + 1, 0
-        parts = -(-size // shard_chars) if size > 2 * shard_chars else 1
-        out.append((leaf, at, parts))
+        last, parts = phase, -(-size // shard_chars) if size > 2 * shard_chars else 1
+        out.append((phase, leaf, at, parts))
         at, held = (at + parts, 0) if parts > 1 else (at, held + size)
     return out
 
@@ -206,28 +253,30 @@ def dealt(rows: DataFrame, corpus: Corpus, shards: int, shard_chars: int) -> Dat
             yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in content(batch.column(0).to_pylist(), corpus, sign)], pa.binary())], ["x"])
 
     most = min(SAMPLE, max(4096, 2 * shards * PER_CLUSTER))
-    some = rows.filter(F.pmod(F.xxhash64("salt"), F.lit(1_000_000)) < int(1_200_000 * most / max(1, corpus.docs)) + 1).select("ids").limit(most)
+    drawn = F.xxhash64("salt").bitwiseAND((1 << 62) - 1) < int((1 << 62) * min(1.0, 1.2 * most / max(1, corpus.docs)))
+    some = rows.filter(drawn).select("ids").limit(most)
     x = np.frombuffer(b"".join(bytes(r["x"]) for r in some.mapInArrow(vectors, "x binary").collect()), np.float32).reshape(-1, DIMS)
     if not len(x):
         x = np.zeros((1, DIMS), np.float32)
-    clusters = Clusters(x, 2 * shards)
+    clusters = spark.sparkContext.broadcast(Clusters(x, min(2 * shards, max(1, len(x) // 8))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sign = signs()
+        sign, to = signs(), clusters.value
         for batch in slices(batches, 256):
-            leaf = clusters.of(content(batch.column(3).to_pylist(), corpus, sign))
-            yield pa.RecordBatch.from_arrays([pa.array(leaf), *batch.columns], ["leaf", "salt", "chars", "doc_id", "ids"])
+            leaf = to.of(content(batch.column(4).to_pylist(), corpus, sign))
+            yield pa.RecordBatch.from_arrays([pa.array(leaf), *batch.columns], ["leaf", "phase", "salt", "chars", "doc_id", "ids"])
 
-    placed = materialize(rows.select("salt", "chars", "doc_id", "ids").mapInArrow(run, "leaf long, salt long, chars long, doc_id long, ids binary"), "leaves")
-    sizes = {r["leaf"]: r["chars"] for r in placed.groupBy("leaf").agg(F.sum("chars").alias("chars")).collect()}
-    plan = spark.createDataFrame(shared_out(sizes, shard_chars), "leaf long, first long, parts long")
-    return placed.join(F.broadcast(plan), "leaf").select((F.col("first") + F.pmod("salt", "parts")).alias("shard"), "doc_id", "ids")
+    placed = materialize(rows.select("phase", "salt", "chars", "doc_id", "ids").mapInArrow(run, "leaf long, phase long, salt long, chars long, doc_id long, ids binary"), "leaves")
+    discard(rows)
+    sizes = {(r["phase"], r["leaf"]): r["chars"] for r in placed.groupBy("phase", "leaf").agg(F.sum("chars").alias("chars")).collect()}
+    plan = spark.createDataFrame(shared_out(sizes, shard_chars), "phase long, leaf long, first long, parts long")
+    return placed.join(F.broadcast(plan), ["phase", "leaf"]).select((F.col("first") + F.pmod("salt", "parts")).alias("shard"), "doc_id", "ids")
 
 
-def packed(docs: DataFrame, vocabulary: str, end_id: int, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", shard_chars: int = SHARD_CHARS) -> DataFrame:
+def packed(docs: DataFrame, vocabulary: str, end_id: int, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", shard_chars: int = SHARD_CHARS, in_order: bool = False) -> DataFrame:
     """The pieces of all documents: RESULT's columns, sequence_id unique over all shards."""
     spark = docs.sparkSession
-    rows = materialize(encoded(docs, vocabulary, end_id, id_col, text_col), "ids")
+    rows = materialize(encoded(docs, vocabulary, end_id, id_col, text_col, in_order, shard_chars), "ids")
     total = rows.agg(F.sum("chars")).first()[0] or 0
     shards = max(1, -(-total // shard_chars))
     corpus = corpus_of(rows) if shards > 1 else None
@@ -240,7 +289,7 @@ def packed(docs: DataFrame, vocabulary: str, end_id: int, window: int = WINDOW,
         return pa.table([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], [x.split()[0] for x in RESULT.split(", ")])
 
     placed = dealt(rows, corpus, shards, shard_chars) if corpus else rows.select(F.lit(0).cast("long").alias("shard"), "doc_id", "ids")
-    placed = placed.repartition(min(shards, max(partitions(spark), shards // 8)), "shard")
+    placed = placed.repartition(min(shards, max(partitions(spark), shards // 4)), "shard")
     return placed.groupBy("shard").applyInArrow(run, RESULT)
 
 

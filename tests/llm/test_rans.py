@@ -18,19 +18,27 @@ VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(VOCABULARY)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(VOCABULARY)
 
 
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(), max_size=20).map(" ".join))
 def test_codec_encodes_as_the_library_does(text):
     whole = Tokenizer.from_file(VOCABULARY)
-    whole.encode_special_tokens = True
     assert np.frombuffer(WordCodec(VOCABULARY).encode(text), "<u2").tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+SPECIAL = ["<|endoftext|>", "a<|startoftext|>b", "one <|endoftext|> two", "<|endoftext|", "x.<|startoftext|><|endoftext|>"]
+
+
+@pytest.mark.parametrize("text", SPECIAL)
+@pytest.mark.parametrize("literal", [False, True])
+def test_special_strings_are_as_the_library_has_them(text, literal):
+    whole = Tokenizer.from_file(VOCABULARY)
+    whole.encode_special_tokens = literal
+    assert np.frombuffer(WordCodec(VOCABULARY, literal).encode(text), "<u2").tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("n", [0, 1, 7, 64, 1000, 5000])
 def test_blocks_round_trip(n):
     rng = np.random.default_rng(n)
