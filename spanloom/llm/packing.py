@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, codec, discard, materialize, partitions, slices
+from .common import bounded_batches, codec, materialize, partitions, slices
 
 WINDOW, SHARD_CHARS = 2048, 2_000_000
 K1, B = 1.5, 0.75
@@ -141,7 +141,7 @@ def stretches(docs: DataFrame, phases: int, chars: Column) -> DataFrame:
 
 
 def encoded(docs: DataFrame, vocabulary: str, end_id: int, id_col: str, text_col: str, in_order: bool, shard_chars: int) -> DataFrame:
-    """phase, salt, chars, doc_id, ids (16-bit) of every whole text with its end id."""
+    """phase, salt, chars, doc_id, ids (16-bit) of every whole text with its end id; each task's last row, of phase -1, holds what it counted."""
     bounded_batches(docs.sparkSession)
     end = end_id.to_bytes(2, "little")
 
@@ -149,13 +149,21 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int, id_col: str, text_col
         from pyspark import TaskContext
         from xxhash import xxh64_intdigest
 
-        of, part, row = codec(vocabulary), TaskContext.get().partitionId(), 0
+        of, part, row, found = codec(vocabulary), TaskContext.get().partitionId(), 0, np.zeros(65538, np.int64)  # the last two: documents, ids
         for batch in slices(batches):
+            if not batch.num_rows:
+                continue
             ids = [of.encode(t) + end for t in batch.column(3).to_pylist()]
+            size, _, term, _ = counted(ids)
+            found += np.append(np.bincount(term, minlength=65536), [len(size), size.sum()])
             salt = [xxh64_intdigest(f"{name} {part} {row + i}") >> 1 for i, name in enumerate(batch.column(2).to_pylist())]
             row += len(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(salt, pa.int64()), batch.column(1), batch.column(2), pa.array(ids, pa.binary())], ["phase", "salt", "chars", "doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(salt, pa.int64()), batch.column(1), batch.column(2), pa.array(ids, pa.binary())], names)
+        if row:
+            told = np.stack([np.flatnonzero(found), found[found > 0]]).astype("<i8").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((-1, 0, 0, None, told), (*[pa.int64()] * 4, pa.binary()), strict=True)], names)
 
+    names = ["phase", "salt", "chars", "doc_id", "ids"]
     chars = F.coalesce(F.length(text_col), F.lit(0)).cast("long") + 4
     phase = F.lit(0).cast("long")
     if in_order:
@@ -172,17 +180,18 @@ def counted(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 
 def corpus_of(rows: DataFrame) -> Corpus:
-    """Document frequencies over all rows (ids)."""
+    """Document frequencies over all rows that ``encoded`` gave. At most 65,538 numbers come to the driver, whatever the corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros(65538, np.int64)  # the last two: documents, tokens
-        for batch in slices(batches):
-            size, _, term, _ = counted(batch.column(0).to_pylist())
-            found += np.append(np.bincount(term, minlength=65536), [len(size), size.sum()])
+        found = np.zeros(65538, np.int64)
+        for batch in batches:
+            for told in batch.column(0).to_pylist():
+                at, n = np.frombuffer(told, "<i8").reshape(2, -1)
+                found[at] += n
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(found)), pa.array(found[found > 0])], ["term", "n"])
 
     found = np.zeros(65538, np.int64)
-    for term, n in rows.select("ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n")).collect():
+    for term, n in rows.filter("phase < 0").select("ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n")).collect():
         found[term] = n
     return Corpus(int(found[65536]), found[:65536], max(1.0, found[65537] / max(1, found[65536])))
 
@@ -231,55 +240,62 @@ class Clusters:
         return out
 
 
-def shared_out(sizes: dict[tuple[int, int], int], shard_chars: int) -> list[tuple[int, int, int, int]]:
-    """(phase, leaf, first shard, number of shards): a phase's leaves that follow each other share one, a leaf of more than two shards' size has several."""
-    out, at, held, last = [], 0, 0, None
-    for (phase, leaf), size in sorted(sizes.items()):
-        if held and (held + size > shard_chars or phase != last):
-            at, held = at + 1, 0
-        last, parts = phase, -(-size // shard_chars) if size > 2 * shard_chars else 1
-        out.append((phase, leaf, at, parts))
-        at, held = (at + parts, 0) if parts > 1 else (at, held + size)
-    return out
+def shared_out(sizes: np.ndarray, shard_chars: int) -> tuple[np.ndarray, np.ndarray]:
+    """First shard, and number of shards, of each (phase, leaf): a phase's leaves that follow each other share one, a leaf of more than two shards' size has several."""
+    first, parts, at = np.zeros(sizes.shape, np.int64), np.ones(sizes.shape, np.int64), 0
+    for phase, leaves in enumerate(sizes.tolist()):
+        held = 0
+        for leaf, size in enumerate(leaves):
+            if held and held + size > shard_chars:
+                at, held = at + 1, 0
+            first[phase, leaf] = at
+            if size > 2 * shard_chars:
+                parts[phase, leaf] = -(-int(size) // shard_chars)
+                at, held = at + int(parts[phase, leaf]), 0
+            else:
+                held += size or 1e-9
+        at += held > 0
+    return first, parts
 
 
-def dealt(rows: DataFrame, corpus: Corpus, shards: int, shard_chars: int) -> DataFrame:
-    """shard, doc_id, ids: documents of like content in one shard."""
+def dealt(rows: DataFrame, corpus: Corpus, total: int, shards: int, shard_chars: int) -> DataFrame:
+    """shard, doc_id, ids: documents of like content in one shard; a shard's size is that of its leaves' share of the sample."""
     spark = rows.sparkSession
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sign = signs()
         for batch in slices(batches, 256):
-            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in content(batch.column(0).to_pylist(), corpus, sign)], pa.binary())], ["x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([v.tobytes() for v in content(batch.column(2).to_pylist(), corpus, sign)], pa.binary())], ["phase", "chars", "x"])
 
     most = min(SAMPLE, max(4096, 2 * shards * PER_CLUSTER))
-    drawn = F.xxhash64("salt").bitwiseAND((1 << 62) - 1) < int((1 << 62) * min(1.0, 1.2 * most / max(1, corpus.docs)))
-    some = rows.filter(drawn).select("ids").limit(most)
-    x = np.frombuffer(b"".join(bytes(r["x"]) for r in some.mapInArrow(vectors, "x binary").collect()), np.float32).reshape(-1, DIMS)
-    if not len(x):
-        x = np.zeros((1, DIMS), np.float32)
-    clusters = spark.sparkContext.broadcast(Clusters(x, min(2 * shards, max(1, len(x) // 8))))
+    drawn = F.xxhash64("salt").bitwiseAND((1 << 62) - 1) < int((1 << 62) * min(1.0, most / max(1, corpus.docs)))
+    some = rows.filter(drawn).select("phase", "chars", "ids").mapInArrow(vectors, "phase long, chars long, x binary").toArrow()
+    x = np.frombuffer(b"".join(some.column(2).to_pylist()), np.float32).reshape(-1, DIMS) if some.num_rows else np.zeros((1, DIMS), np.float32)
+    clusters = Clusters(x, min(2 * shards, max(1, len(x) // 8)))
+    sizes = np.zeros((PHASES, int(clusters.first[-1])))
+    if some.num_rows:
+        chars = some.column(1).to_numpy().astype(float)
+        np.add.at(sizes, (some.column(0).to_numpy(), clusters.of(x)), chars * total / chars.sum())
+    shared = spark.sparkContext.broadcast((clusters, *shared_out(sizes, shard_chars)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sign, to = signs(), clusters.value
+        sign, (to, first, parts) = signs(), shared.value
         for batch in slices(batches, 256):
-            leaf = to.of(content(batch.column(4).to_pylist(), corpus, sign))
-            yield pa.RecordBatch.from_arrays([pa.array(leaf), *batch.columns], ["leaf", "phase", "salt", "chars", "doc_id", "ids"])
+            if batch.num_rows:
+                at = batch.column(0).to_numpy(), to.of(content(batch.column(3).to_pylist(), corpus, sign))
+                yield pa.RecordBatch.from_arrays([pa.array(first[at] + batch.column(1).to_numpy() % parts[at]), batch.column(2), batch.column(3)], ["shard", "doc_id", "ids"])
 
-    placed = materialize(rows.select("phase", "salt", "chars", "doc_id", "ids").mapInArrow(run, "leaf long, phase long, salt long, chars long, doc_id long, ids binary"), "leaves")
-    discard(rows)
-    sizes = {(r["phase"], r["leaf"]): r["chars"] for r in placed.groupBy("phase", "leaf").agg(F.sum("chars").alias("chars")).collect()}
-    plan = spark.createDataFrame(shared_out(sizes, shard_chars), "phase long, leaf long, first long, parts long")
-    return placed.join(F.broadcast(plan), ["phase", "leaf"]).select((F.col("first") + F.pmod("salt", "parts")).alias("shard"), "doc_id", "ids")
+    return rows.select("phase", "salt", "doc_id", "ids").mapInArrow(run, "shard long, doc_id long, ids binary")
 
 
 def packed(docs: DataFrame, vocabulary: str, end_id: int, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", shard_chars: int = SHARD_CHARS, in_order: bool = False) -> DataFrame:
     """The pieces of all documents: RESULT's columns, sequence_id unique over all shards."""
     spark = docs.sparkSession
-    rows = materialize(encoded(docs, vocabulary, end_id, id_col, text_col, in_order, shard_chars), "ids")
+    both = materialize(encoded(docs, vocabulary, end_id, id_col, text_col, in_order, shard_chars), "ids")
+    rows = both.filter("phase >= 0")
     total = rows.agg(F.sum("chars")).first()[0] or 0
     shards = max(1, -(-total // shard_chars))
-    corpus = corpus_of(rows) if shards > 1 else None
+    corpus = corpus_of(both) if shards > 1 else None
 
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
@@ -288,7 +304,7 @@ def packed(docs: DataFrame, vocabulary: str, end_id: int, window: int = WINDOW,
         found = [(rows[d][0], a, n, zlib.crc32(texts[d][a : a + n].tobytes()), len(texts[d]), (shard << 32) | seq, off) for d, a, n, seq, off in pack(texts, window, corpus)]
         return pa.table([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], [x.split()[0] for x in RESULT.split(", ")])
 
-    placed = dealt(rows, corpus, shards, shard_chars) if corpus else rows.select(F.lit(0).cast("long").alias("shard"), "doc_id", "ids")
+    placed = dealt(rows, corpus, total, shards, shard_chars) if corpus else rows.select(F.lit(0).cast("long").alias("shard"), "doc_id", "ids")
     placed = placed.repartition(min(shards, max(partitions(spark), shards // 4)), "shard")
     return placed.groupBy("shard").applyInArrow(run, RESULT)
 
