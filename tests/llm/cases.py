@@ -3,7 +3,7 @@
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 #: Columns that operators use as names of their own.
-EXTRA = ["score", "shard", "ids", "position", "fp", "component_id", "size", "start", "taken", "digest", "told"]
+EXTRA = ["score", "shard", "ids", "position", "fp", "component_id", "size", "start", "taken", "digest", "told", "phase", "hash", "drops", "__id", "__hash", "__drops", "__doc", "__key", "__position", "__total", "__dropped", "__drop_id", "__drop_hash"]
 SCHEMA = StructType([StructField("doc_id", LongType()), StructField("text", StringType()), StructField("lang", StringType()), StructField("source", StringType()), StructField("n_chars", LongType()), *[StructField(c, DoubleType()) for c in EXTRA]])
 
 PROSE = "The night was long and the road was empty, so they walked on until the first houses came in sight."

@@ -50,6 +50,7 @@ def test_mix_against_brute_force(spark):
             at += n
     key = lambda r: tuple(-1 if x is None else x for x in r)
     assert sorted(((r["doc_id"], r["size"], r["source_size"], r["taken"]) for r in rows), key=key) == sorted(want, key=key)
+    assert all((r["position"] is None) == (r["taken"] == 0) for r in rows)
     assert all(r["taken"] <= 3 * r["size"] and 0 <= c["position"] <= 1 for r in rows for c in r["copies"])
 
 
@@ -73,6 +74,30 @@ def test_training_order_repeats_whole_documents(spark):
     assert sorted(small) == sorted([0, 1, 2, 3] * 3)
 
 
+def test_null_and_shared_ids_follow_the_plan(spark):
+    """A source of rows without an id that the plan takes three times, one that it cuts, and rows that share an id."""
+    rows = [(None, f"w {i} " * 5, "a") for i in range(3)] + [(7, f"x {i} " * 50, "b") for i in range(40)] + [(8, "y " * 30, "b")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [(r["doc_id"], r["text"]) for r in mixing.training_order(docs).collect()]
+    size = lambda t: len(t.split())
+    total = sum(size(t) for _, t, _ in rows)
+    assert sorted(t for i, t in got if i is None) == sorted([f"w {i} " * 5 for i in range(3)] * 3)
+    assert abs(sum(size(t) for _, t in got) - total) <= 100
+    assert len({t for i, t in got if i == 7}) > 30
+
+
+def test_the_schedule_decides_the_order(spark):
+    """Other tilts, other positions: a source whose weight falls comes earlier on average than one whose weight rises."""
+    docs = spark.createDataFrame([(i, "w " * 10, "ab"[i % 2]) for i in range(400)], "doc_id long, text string, source string")
+
+    def mean(tilts):
+        rows = mixing.mixed(docs, tilts=tilts).filter("taken > 0").groupBy("source").agg(F.avg("position").alias("at")).collect()
+        return {r["source"]: r["at"] for r in rows}
+
+    falls, rises = mean((-0.8, 0.8)), mean((0.8, -0.8))
+    assert falls["a"] + 0.1 < rises["a"] and rises["b"] + 0.1 < falls["b"]
+
+
 def test_empty_table(spark):
     assert mixing.mixed(empty(spark)).count() == 0
     assert mixing.training_order(empty(spark)).count() == 0
