@@ -38,10 +38,10 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2048 tokens."""
+    """Pieces of sequences of 2048 tokens, numbered along the training order in which the mixing stage wrote its rows."""
     import public_tokenizers
 
-    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, in_order=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
