@@ -14,7 +14,8 @@ from typing import Any, TypeVar
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 T = TypeVar("T")
 
@@ -75,6 +76,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def drawn(order: Column, wanted: int, of: int | Column) -> Column:
+    """Whether a row is among about ``wanted`` of ``of`` rows: whether 62 bits of its hash lie below that share, however small it is."""
+    share = F.least(F.lit(1.0), F.lit(float(wanted)) / F.greatest(F.lit(1), of if isinstance(of, Column) else F.lit(of)))
+    return order.bitwiseAND((1 << 62) - 1) <= F.floor(share * float(1 << 62))
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Smaller batches, so that no worker holds Python objects for more than so many documents."""
     for batch in batches:

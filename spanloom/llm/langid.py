@@ -6,9 +6,11 @@ scores the sum, over all its segmentations into pieces, of the product of their
 forward algorithm gives; a text scores the product over its words, and the score of a language is its share
 among all (the posterior under equal priors).
 
-Learning reads about TRAIN_DOCS documents a language at most (drawn by a hash of doc_id; a parameter). The
-model has at most languages x pieces numbers, whatever the corpus. Scoring reads every whole text, without
-shuffle. Words are runs of letters, lower-cased; a run of more than MAX_WORD letters counts as several.
+Learning reads about TRAIN_DOCS documents a language (a parameter; those whose 62-bit hash of id and text lies
+below that share of all, at any number of documents), and all words of them. The model has languages x pieces
+numbers, whatever the corpus; more than MAX_LANGS languages are an error, as the model goes to every worker.
+Scoring reads every whole text, however long, without shuffle. Words are runs of letters, lower-cased; a run of
+more than MAX_WORD letters counts as several.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0; without anything to learn from
 every text is ``und``; null lang or null doc_id is not learnt from; ties go to the first language by name;
@@ -26,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, slices, worker_state
+from .common import bounded_batches, drawn, slices, worker_state
 
-TRAIN_DOCS, ROUNDS, MAX_WORD, CACHED = 1500, 4, 40, 300_000
+TRAIN_DOCS, ROUNDS, MAX_WORD, CACHED, MAX_LANGS = 600, 4, 40, 300_000, 1000
 FLOOR, SMOOTH = 1e-6, 200.0
 WORD = re.compile(r"[^\W\d_]+")
 START = "▁"
@@ -85,8 +87,8 @@ class Pieces:
             hit = known[spot] == h if len(known) else np.zeros(len(h), bool)
             piece = np.where(hit, index[spot] if len(known) else 0, self.unknown)
             use = hit | (n == 1)
-            out.append(np.stack([word[at[use]], place[at[use]], place[at[use]] + n, piece[use]], axis=1))
-        return np.concatenate(out) if out else np.empty((0, 4), np.int64)
+            out.append(np.stack([word[at[use]], place[at[use]], place[at[use]] + n, piece[use]], axis=1).astype(np.int32))
+        return np.concatenate(out) if out else np.empty((0, 4), np.int32)
 
 
 def codes(text: str) -> np.ndarray:
@@ -132,7 +134,7 @@ class Lattices:
         for rows in reversed(self.by_end):
             n, a, b, piece = self.arcs[rows].T
             through = p[piece] * beta[n, b]
-            beta += np.bincount(n * beta.shape[1] + a, through, minlength=beta.size).reshape(beta.shape)
+            beta += np.bincount(n.astype(np.int64) * beta.shape[1] + a, through, minlength=beta.size).reshape(beta.shape)
             total += np.bincount(piece, alpha[n, a] * through * weight[n], minlength=len(p))
         return total
 
@@ -158,8 +160,10 @@ def fitted(docs: DataFrame, learn: Column, vocabulary: str, train_docs: int = TR
     sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return [], [], np.zeros((0, 1))
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(1e6 * min(1.0, train_docs / n)))])
-    chosen = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1_000_000)) < share[F.col("lang")])
+    if len(sizes) > MAX_LANGS:
+        raise ValueError(f"{len(sizes)} languages; the model is made for {MAX_LANGS} at most")
+    of = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, n)])[F.col("lang")]
+    chosen = usable.filter(drawn(F.xxhash64("doc_id", "text", F.lit(2)), train_docs, of))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -168,8 +172,7 @@ def fitted(docs: DataFrame, learn: Column, vocabulary: str, train_docs: int = TR
                 seen.update((lang, w) for w in words_of(text))
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(seen.values(), pa.int64())], ["lang", "word", "n"])
 
-    least = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, 2 if n > train_docs // 5 else 1)])
-    table = chosen.select("text", "lang").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least[F.col("lang")]).orderBy("lang", "word").toArrow()
+    table = chosen.select("text", "lang").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).orderBy("lang", "word").toArrow()
     counts: dict[str, Counter] = {}
     for lang, word, n in zip(*(c.to_pylist() for c in table.columns), strict=True):
         counts.setdefault(lang, Counter())[word] = n

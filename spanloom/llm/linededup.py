@@ -8,13 +8,15 @@
    are suspects. They shuffle as digests: smallest and largest doc_id of a digest tell whether it is repeated
    and which document comes first. On a corpus too large for the filter more lines are suspects; the result
    stays exact;
-4. documents without suspects are done where they are read; the others meet their list of lines to drop.
+4. the documents are written once with their suspects; those without are done, the others meet their list of
+   lines to drop, by id and a hash of the text, so that no list is longer than a text, whatever shares an id.
 
 A line's key is the line stripped of ``[\\x20\\x09-\\x0D]`` with A-Z lower-cased; keys of min_chars code points
 or more count. Defined cases: null or empty text is one empty line; a null doc_id comes after all others;
 rows that repeat a doc_id are one document for the choice, and each row keeps or loses its own lines; a line
-repeated within one document only stays; an empty table gives an empty result; ``deduplicated`` keeps all
-other columns.
+repeated within one document only stays; a very long text is one row like any other; there are no ties (all
+lines but those of the smallest doc_id go); an empty table gives an empty result; ``deduplicated`` keeps all
+other columns, whatever their names (names that begin with ``__line_`` are its own).
 """
 
 from __future__ import annotations
@@ -22,13 +24,12 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from .common import bounded_batches, materialize, partitions, slices
 
@@ -73,7 +74,7 @@ def unpacked(blob: bytes) -> np.ndarray:
 
 
 def twice_filter(docs: DataFrame, min_chars: int) -> tuple[np.ndarray, int]:
-    """The packed bits of ``twice`` over docs (doc, text), and how many bits it has."""
+    """The packed bits of ``twice`` over docs (text), and how many bits it has."""
     spark = docs.sparkSession
     n = docs.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
     bits = filter_bits(n)
@@ -131,29 +132,16 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.drop(*counts)
-    plain = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).alias("text"))
-    found, bits = twice_filter(plain, min_chars)
+    found, bits = twice_filter(docs.select(F.col(text_col).alias("text")), min_chars)
     shared = spark.sparkContext.broadcast(found)
     at = docs.columns.index(text_col)
     done = StructType([*docs.schema.fields, StructField(counts[0], LongType()), StructField(counts[1], LongType())])
+    told = StructType([*docs.schema.fields, StructField("__line_suspects", ArrayType(BinaryType()))])
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            each = [suspects_of(t, shared.value, bits, min_chars) for t in batch.column(1).to_pylist()]
-            names = np.repeat(batch.column(0).to_numpy(), [len(x) for x in each])
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(list(chain.from_iterable(each)), pa.binary())], ["doc", "digest"])
-
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            texts = batch.column(at).to_pylist()
-            mask = pa.array([not suspects_of(t, shared.value, bits, min_chars) for t in texts], pa.bool_())
-            sizes = pa.array([(t or "").count("\n") + 1 for t in texts], pa.int64())
-            whole = pa.RecordBatch.from_arrays([*batch.columns, sizes, pa.array([0] * len(texts), pa.int64())], done.names)
-            yield whole.filter(mask)
-
-    def mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            yield batch.filter(pa.array([bool(suspects_of(t, shared.value, bits, min_chars)) for t in batch.column(at).to_pylist()], pa.bool_()))
+            each = [suspects_of(t, shared.value, bits, min_chars) for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(each, pa.list_(pa.binary()))], told.names)
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -168,17 +156,22 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(gone, pa.int64())], done.names)
 
-    suspects = materialize(plain.mapInArrow(find, "doc long, digest binary"), "suspects")
-    repeated = materialize(suspects.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("digest", "first"), "repeated")
-    drops = suspects.join(repeated, "digest").filter("doc > first").groupBy("doc").agg(F.collect_set("digest").alias("__drops")).withColumnRenamed("doc", "__doc")
-    asked = docs.mapInArrow(mixed, docs.schema).withColumn("__key", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)))
-    met = asked.join(drops, F.col("__key") == F.col("__doc"), "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__drops")
-    return docs.mapInArrow(clean, done).unionByName(met.mapInArrow(drop, done))
+    each = [F.col(f"`{c}`") for c in docs.columns]
+    name = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("__line_doc")
+    marked = materialize(docs.mapInArrow(mark, told).withColumns({"__line_doc": name, "__line_hash": F.xxhash64(f"`{text_col}`")}), "marked")
+    some = F.size("__line_suspects") > 0
+    suspects = marked.filter(some).select("__line_doc", "__line_hash", F.explode("__line_suspects").alias("__line_digest"))
+    repeated = materialize(suspects.groupBy("__line_digest").agg(F.min("__line_doc").alias("first"), F.max("__line_doc").alias("last")).filter("first < last").select("__line_digest", "first"), "repeated")
+    drops = suspects.join(repeated, "__line_digest").filter(F.col("__line_doc") > F.col("first")).groupBy("__line_doc", "__line_hash").agg(F.collect_set("__line_digest").alias("__line_drops"))
+    met = marked.filter(some).join(drops, ["__line_doc", "__line_hash"], "left").select(*each, "__line_drops")
+    lines = F.length(f"`{text_col}`") - F.length(F.replace(f"`{text_col}`", F.lit("\n"), F.lit(""))) + 1
+    clean = marked.filter(~some).select(*each, F.coalesce(lines, F.lit(1)).cast("long").alias(counts[0]), F.lit(0).cast("long").alias(counts[1]))
+    return clean.unionByName(met.mapInArrow(drop, done))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the lines that stay as text, and the columns that docs has."""
-    return line_dedup(docs, id_col, text_col, counts=("__total", "__dropped")).select(docs.columns)
+    return line_dedup(docs, id_col, text_col, counts=("__line_total", "__line_gone")).select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_bloom_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, codec, materialize, partitions, slices
+from .common import bounded_batches, codec, drawn, materialize, partitions, slices
 
 WINDOW, SHARD_CHARS = 2048, 2_000_000
 K1, B = 1.5, 0.75
@@ -268,8 +268,7 @@ def dealt(rows: DataFrame, corpus: Corpus, total: int, shards: int, shard_chars:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([v.tobytes() for v in content(batch.column(2).to_pylist(), corpus, sign)], pa.binary())], ["phase", "chars", "x"])
 
     most = min(SAMPLE, max(4096, 2 * shards * PER_CLUSTER))
-    drawn = F.xxhash64("salt").bitwiseAND((1 << 62) - 1) < int((1 << 62) * min(1.0, most / max(1, corpus.docs)))
-    some = rows.filter(drawn).select("phase", "chars", "ids").mapInArrow(vectors, "phase long, chars long, x binary").toArrow()
+    some = rows.filter(drawn(F.xxhash64("salt"), most, corpus.docs)).select("phase", "chars", "ids").mapInArrow(vectors, "phase long, chars long, x binary").toArrow()
     x = np.frombuffer(b"".join(some.column(2).to_pylist()), np.float32).reshape(-1, DIMS) if some.num_rows else np.zeros((1, DIMS), np.float32)
     clusters = Clusters(x, min(2 * shards, max(1, len(x) // 8)))
     sizes = np.zeros((PHASES, int(clusters.first[-1])))

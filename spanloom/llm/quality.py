@@ -6,13 +6,14 @@ also as "same word as before"; a run of signs is its own shape). A feature's val
 n-grams of its kind, so a score is a sparse dot product: the bias plus, for each kind, the mean weight of
 the text's n-grams.
 
-Training reads at most about TRAIN_DOCS labelled documents (drawn by a hash of doc_id; a parameter); one
-task runs follow-the-regularised-leader over their sparse vectors, in an order fixed by that hash. The
-model is at most 2**HASH_BITS weights, whatever the corpus. Scoring reads every whole text, without shuffle.
+Training reads about TRAIN_DOCS labelled documents (a parameter; those whose 62-bit hash of doc_id lies below
+that share of all, at any number of labels), four times as many rows at most; one task runs follow-the-regularised-leader
+over their sparse vectors, in an order fixed by that hash. The model is at most 2**HASH_BITS weights, whatever
+the corpus. Scoring reads every whole text, however long, without shuffle.
 
 Defined cases: null or empty text, or text without a token, scores the bias; null labels and null doc_ids
-are not learnt from; without any label every score is 0.5; repeated rows are scored each; other columns are
-kept by ``keep_good`` and ignored by ``scored``.
+are not learnt from; of several labels of one doc_id the smallest counts; without any label every score is 0.5;
+repeated rows are scored each, and learnt from each; other columns are kept by ``keep_good`` and ignored by ``scored``.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, slices, worker_state
+from .common import bounded_batches, drawn, slices, worker_state
 
 HASH_BITS, TRAIN_DOCS, EPOCHS, CACHED = 18, 6000, 3, 400_000
 ALPHA, BETA, L1, L2, SCALE = 0.3, 1.0, 0.002, 0.002, 4.0
@@ -105,9 +106,8 @@ def fitted(docs: DataFrame, labels: DataFrame, learn: Column, train_docs: int =
     """The model from the labelled documents for which ``learn`` (over doc_id) holds, about train_docs of them at most."""
     bounded_batches(docs.sparkSession)
     usable = labels.select("doc_id", F.col(label_col).cast("int").alias("label")).filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & learn)
-    share = min(1.0, train_docs / max(1, usable.count()))
     order = F.xxhash64("doc_id", F.lit(10))
-    chosen = usable.filter(F.pmod(order, F.lit(1_000_000)) < int(share * 1_000_000)).dropDuplicates(["doc_id"])
+    chosen = usable.filter(drawn(order, train_docs, usable.count())).groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(order, "doc_id").limit(2 * train_docs)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(order.alias("at"), "label", "text")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +123,7 @@ def fitted(docs: DataFrame, labels: DataFrame, learn: Column, train_docs: int =
         yield pa.RecordBatch.from_arrays([pa.array([*at.tolist(), -1], pa.int32()), pa.array([*w[at].tolist(), bias], pa.float64())], ["place", "weight"])
 
     vectors = texts.mapInArrow(extract, "at long, label int, places binary, shares binary")
-    model = vectors.repartition(1).sortWithinPartitions("at", "label").mapInArrow(learnt, "place int, weight double").toArrow()
+    model = vectors.orderBy("at", "label", "places", "shares").limit(4 * train_docs).mapInArrow(learnt, "place int, weight double").toArrow()
     w, bias = np.zeros(1 << HASH_BITS), 0.0
     if model.num_rows:
         at, values = model.column(0).to_numpy(), model.column(1).to_numpy()

@@ -5,10 +5,10 @@ Fingerprints: the majority bits of the XXH64 hashes (seed 42) of word shingles,
 Equal fingerprints collapse into one class first (where similarity is verified, only those of equal shingle sets:
 a digest of the set follows the fingerprint in the class's name). Then
 
-1. every class gets its row of the pivot table: Hamming distances to PIVOTS reference fingerprints;
-2. classes meet in buckets. For few allowed bits these are pigeonhole keys (of ``blocks`` bit blocks at
-   least ``blocks - max_bits`` are equal in a linked pair, so some combination of equal blocks is a key of
-   both: no link is lost). For many allowed bits they are keys of sampled bits, as many tables as reach
+1. every class gets its row of the pivot table, once: Hamming distances to PIVOTS reference fingerprints;
+2. classes meet in buckets. For few allowed bits these are pigeonhole keys (of ``max_bits + k`` bit blocks at
+   least k are equal in a linked pair, so some k equal blocks are a key of both: no link is lost; k grows with
+   the number of classes, so that buckets don't). For many allowed bits they are keys of sampled bits, as many tables as reach
    ``recall`` over all pairs at the similarity asked for, whose distances spread, at any number of classes. A pivot table alone would need all pairs;
 3. in a bucket, sorted by the first pivot's distance, a pair is discarded as soon as any coordinate
    differs by more than max_bits (triangle inequality); the survivors' distance is verified exactly;
@@ -21,7 +21,9 @@ a digest of the set follows the fingerprint in the class's name). Then
 
 Defined cases: null or empty text has fingerprint zero and links like any other; null doc_id takes no part
 in the choice of the smallest, so a component without any other has a null id; repeated rows are documents
-of their own; an empty table gives an empty result; other columns are ignored, or kept by ``deduplicated``.
+of their own; a very long text is read whole; ties have no part (a component is named by its smallest id); an
+empty table gives an empty result; other columns are ignored, or kept by ``deduplicated``, whatever their names
+(names that begin with ``__sim_`` are its own).
 """
 
 from __future__ import annotations
@@ -131,10 +133,11 @@ def found_share(bits: int, r: int, tables: int, max_bits: int, similarity: float
 def bit_sets(width: int, max_bits: int, similarity: float, recall: float, classes: int) -> list[list[int]]:
     """The bits of each table's key."""
     bits = 64 * width
-    blocks = max_bits + 2
-    if math.comb(blocks, 2) <= 32:
+    if math.comb(max_bits + 2, 2) <= 32:
+        equal = next((k for k in (2, 3) if bits * k // (max_bits + k) >= math.log2(max(2, classes)) - 6), 4)
+        blocks = max_bits + equal
         cut = [bits * i // blocks for i in range(blocks + 1)]
-        return [[*range(cut[a], cut[a + 1]), *range(cut[b], cut[b + 1])] for a, b in combinations(range(blocks), 2)]
+        return [[x for b in some for x in range(cut[b], cut[b + 1])] for some in combinations(range(blocks), equal)]
     r = min(40, max(10, math.ceil(math.log2(max(2, classes)) - 1)))
     tables = 1
     while found_share(bits, r, tables, max_bits, similarity) < recall:
@@ -145,8 +148,21 @@ def bit_sets(width: int, max_bits: int, similarity: float, recall: float, classe
     return [sorted(rng.choice(bits, r, replace=False).tolist()) for _ in range(tables)]
 
 
+def with_pivots(classes: DataFrame, width: int) -> DataFrame:
+    """classes (fp) with near: the class's row of the pivot table, a byte a pivot (255 stands for 255 and 256, which only loosens the bound)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 4096):
+            if batch.num_rows:
+                fps = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(batch.num_rows, -1).copy().view(">u8").astype(np.uint64)[:, :width]
+                near = np.minimum(pivot_table(fps), 255).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in near], pa.binary())], ["fp", "near"])
+
+    return classes.select("fp").mapInArrow(run, "fp binary, near binary")
+
+
 def keyed(classes: DataFrame, sets: list[list[int]]) -> DataFrame:
-    """bucket, fp: a row for each class and table."""
+    """bucket, fp, near: a row for each class and table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4096):
@@ -156,14 +172,14 @@ def keyed(classes: DataFrame, sets: list[list[int]]) -> DataFrame:
             bits = np.unpackbits(np.frombuffer(b"".join(fp.to_pylist()), np.uint8).reshape(batch.num_rows, -1), axis=1)
             for t, s in enumerate(sets):
                 key = bits[:, s].astype(np.int64) @ (1 << np.arange(len(s), dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array((np.int64(t) << np.int64(44)) | key), fp], ["bucket", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array((np.int64(t) << np.int64(44)) | key), fp, batch.column(1)], ["bucket", "fp", "near"])
 
-    return classes.select("fp").mapInArrow(run, "bucket long, fp binary")
+    return classes.select("fp", "near").mapInArrow(run, "bucket long, fp binary, near binary")
 
 
-def forest(group: np.ndarray, fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
-    """Row pairs, at most max_bits apart, that join the parts of each group; rows come sorted by group."""
-    table = pivot_table(fps)
+def forest(group: np.ndarray, fps: np.ndarray, table: np.ndarray, max_bits: int, seen: list[int] | None = None) -> list[tuple[int, int]]:
+    """Row pairs, at most max_bits apart, that join the parts of each group; rows come sorted by group, each with its
+    row of the pivot table. ``seen`` gets how many pairs there were, and how many were left to verify."""
     order = np.lexsort((table[:, 0], group))
     group, fps, table = group[order], fps[order], table[order]
     parent, found = np.arange(len(group)), []
@@ -182,6 +198,9 @@ def forest(group: np.ndarray, fps: np.ndarray, max_bits: int) -> list[tuple[int,
         left = near
         for k in range(1, PIVOTS):
             left = left[np.abs(table[left, k] - table[left + s, k]) <= max_bits]
+        if seen is not None:
+            seen[0] += int((group[s:] == group[:-s]).sum())
+            seen[1] += len(left)
         left = left[np.bitwise_count(fps[left] ^ fps[left + s]).sum(axis=1) <= max_bits]
         left = left[parent[left] != parent[left + s]]
         for i in left.tolist():
@@ -197,19 +216,21 @@ def forest(group: np.ndarray, fps: np.ndarray, max_bits: int) -> list[tuple[int,
 def links(classes: DataFrame, width: int, max_bits: int, similarity: float = 0.8, recall: float = 0.99) -> DataFrame:
     """a, b (fingerprints): links that connect exactly the classes that pairs at most max_bits apart connect."""
     spark = classes.sparkSession
+    classes = with_pivots(classes, width)
     rows = celled(keyed(classes, bit_sets(width, max_bits, similarity, recall, classes.count())), "bucket")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
 
         def joined(group: np.ndarray, raw: np.ndarray) -> pa.RecordBatch:
-            pairs = forest(group, raw.view(">u8").astype(np.uint64).reshape(len(group), -1)[:, :width], max_bits)
-            return edges_of([r.tobytes() for r in raw], pairs)
+            names = np.ascontiguousarray(raw[:, :-PIVOTS])
+            pairs = forest(group, names.view(">u8").astype(np.uint64).reshape(len(group), -1)[:, :width], raw[:, -PIVOTS:].astype(np.int16), max_bits)
+            return edges_of([r.tobytes() for r in names], pairs)
 
         for batch in slices(batches, 8192):
             if not batch.num_rows:
                 continue
-            raw = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            raw = np.concatenate([np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3)], axis=1)
             key = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1)
             if held:
                 key, raw = np.concatenate([held[0], key]), np.concatenate([held[1], raw])
@@ -221,7 +242,7 @@ def links(classes: DataFrame, width: int, max_bits: int, similarity: float = 0.8
         if held:
             yield joined(np.zeros(len(held[0]), np.int64), np.ascontiguousarray(held[1]))
 
-    dealt = rows.select("bucket", "cell", "fp").repartition(partitions(spark), "bucket", "cell").sortWithinPartitions("bucket", "cell")
+    dealt = rows.select("bucket", "cell", "fp", "near").repartition(partitions(spark), "bucket", "cell").sortWithinPartitions("bucket", "cell")
     return dealt.mapInArrow(run, "a binary, b binary").distinct()
 
 
@@ -264,8 +285,8 @@ def alike(fps: np.ndarray, sets: list[np.ndarray], max_bits: int, similarity: fl
         table = np.zeros((n, len(letters)), np.float32)
         for k, s in enumerate(sets):
             table[k, np.searchsorted(letters, s)] = 1
-        common = (table @ table.T)[i, j]
-        good = common >= similarity * (sizes[i] + sizes[j] - common) - 1e-3
+        common = (table @ table.T)[i, j].astype(np.int64)
+        good = common >= similarity * (sizes[i] + sizes[j] - common)
         i, j, known = i[good], j[good], True
     else:
         known = False
@@ -362,9 +383,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     they all stay. All columns are kept as they are.
     """
     found = simhash_components(docs, id_col=id_col, text_col=text_col, **PIPELINE)
-    drop = found.filter("doc_id <> component_id OR text_hash <> component_hash").select(F.col("doc_id").alias("__drop_id"), F.col("text_hash").alias("__drop_hash")).distinct()
-    named = docs.filter(F.col(id_col).isNotNull()).withColumn("__hash", F.xxhash64(text_col))
-    kept = named.join(drop, (F.col(id_col) == F.col("__drop_id")) & (F.col("__hash") == F.col("__drop_hash")), "left_anti").dropDuplicates([id_col, "__hash"])
+    drop = found.filter("doc_id <> component_id OR text_hash <> component_hash").select(F.col("doc_id").alias("__sim_id"), F.col("text_hash").alias("__sim_drop")).distinct()
+    named = docs.filter(F.col(id_col).isNotNull()).withColumn("__sim_hash", F.xxhash64(text_col))
+    kept = named.join(drop, (F.col(id_col) == F.col("__sim_id")) & (F.col("__sim_hash") == F.col("__sim_drop")), "left_anti").dropDuplicates([id_col, "__sim_hash"])
     return kept.select(docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))
 
 

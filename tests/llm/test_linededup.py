@@ -33,6 +33,13 @@ def test_against_brute_force(spark, rows):
     assert sorted((str(r["doc_id"]), r["n_lines"], r["n_dropped"], r["text"] or "") for r in got) == brute(rows)
 
 
+def test_many_rows_without_an_id_have_lists_of_their_own(spark):
+    """They are one document for the choice, but no row's list of lines is longer than its text."""
+    rows = [(None, f"line {i} of a text without a name\nline {i % 7} that some of them share") for i in range(60)] + [(1, "\n".join(f"line {i} of a text without a name" for i in range(0, 60, 2)))]
+    got = linededup.line_dedup(documents(spark, rows).repartition(4)).collect()
+    assert sorted((str(r["doc_id"]), r["n_lines"], r["n_dropped"], r["text"] or "") for r in got) == brute(rows)
+
+
 def test_full_filter_only_makes_more_suspects(spark, monkeypatch):
     monkeypatch.setattr(linededup, "MIN_BITS", 64)
     monkeypatch.setattr(linededup, "MAX_BITS", 64)

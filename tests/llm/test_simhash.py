@@ -74,6 +74,32 @@ def test_pivots_never_discard_a_link():
     assert (np.abs(simhash.pivot_table(a) - simhash.pivot_table(b)).max(axis=1) <= np.bitwise_count(a ^ b)[:, 0]).all()
 
 
+def test_pivots_discard_most_pairs_and_no_link():
+    """Of the pairs in buckets of random fingerprints, and of clouds around some."""
+    rng = np.random.default_rng(12)
+    fps = rng.integers(0, 2**63, (600, 1)).astype(np.uint64)
+    fps[300:400] = fps[:100] ^ np.uint64(0b1011)
+    group = np.repeat(np.arange(3), 200)
+    group[300:400], group[:100] = 0, 0
+    order = np.argsort(group, kind="stable")
+    group, fps = group[order], fps[order]
+    seen = [0, 0]
+    pairs = simhash.forest(group, fps, simhash.pivot_table(fps), 4, seen)
+    assert len(pairs) == 100 and all(np.bitwise_count(fps[i] ^ fps[j])[0] <= 4 for i, j in pairs)
+    assert seen[1] < 0.05 * seen[0]
+
+
+@pytest.mark.parametrize("classes_", [1000, 10**9, 10**12])
+def test_equal_blocks_are_keys_of_every_link(classes_):
+    sets = simhash.bit_sets(1, 4, 0.8, 0.99, classes_)
+    rng = np.random.default_rng(13)
+    for _ in range(200):
+        differ = np.zeros(64, bool)
+        differ[rng.choice(64, 4, replace=False)] = True
+        assert any(not differ[s].any() for s in sets)
+    assert min(map(len, sets)) >= min(32, np.log2(classes_) - 7)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     got = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
