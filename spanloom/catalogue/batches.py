@@ -89,9 +89,8 @@ SELECT doc_id, seq, policy, CASE WHEN reasons = '' OR policy = 'off' THEN 'accep
 def phrase_action(spark, sf_dir):
     """What the configured policy does about a phrase that fails its check; a retry that fails is an error."""
     rows = _phrases(spark, sf_dir).withColumn("policy", F.element_at(F.array(*map(F.lit, ("off", "warn", "retry", "reject"))), ((F.col("doc_id") + F.col("seq")) % 4 + 1).cast("int")))
-    fine = (F.col("reasons") == "") | (F.col("policy") == "off")
-    again = (F.col("policy") == "retry") & (F.col("seq") % 8 < 4)
-    return rows.select("doc_id", "seq", "policy", F.when(fine, "accept").when(F.col("policy") == "warn", "warn").when(again, "retry").otherwise("quality_error").alias("action"))
+    action = B.phrase_action(F.filter(F.split("reasons", ","), lambda x: x != ""), F.col("policy"), F.col("seq") % 8 >= 4)
+    return rows.select("doc_id", "seq", "policy", action.alias("action"))
 
 
 _WORDS_SQL = DOCS_SQL + """,

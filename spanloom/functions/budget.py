@@ -59,6 +59,12 @@ def phrase_check(source: Column, output: Column, most: float = 3.0) -> Column:
     return F.struct((F.size(reasons) == 0).alias("accepted"), reasons.alias("reasons"), n.alias("source_tokens"), m.alias("output_tokens"), (m / n).alias("ratio"))
 
 
+def phrase_action(reasons: Column, policy: Column, retried: Column) -> Column:
+    """What a policy does about a phrase whose check gave these reasons: accept, warn, retry (once) or quality_error."""
+    fine = (F.size(reasons) == 0) | (policy == "off")
+    return F.when(fine, "accept").when(policy == "warn", "warn").when((policy == "retry") & ~retried, "retry").otherwise("quality_error")
+
+
 def folded(w: Column, finish: Callable[[Column], Column]) -> Column:
     """finish(struct(n, best, pairs)) of a word array: its length, its longest run of one word, and how often a
     word pair comes again right after itself. One pass; the array is computed once."""

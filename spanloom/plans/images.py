@@ -28,7 +28,7 @@ def detected(images: DataFrame, recognizer: Callable[[], imaging.Recognizer], se
     """The regions of each image (path, content). Regions are numbered before the confident ones are chosen."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        detect = recognizer()
+        detect = recognizer()  # a recognizer that can't be loaded ends the job: no image could be read
         for part in parts:
             rows = []
             for path, content in zip(part["path"], part["content"], strict=True):
@@ -36,8 +36,8 @@ def detected(images: DataFrame, recognizer: Callable[[], imaging.Recognizer], se
                     pixels = png.decode(bytes(content))
                     found = [{"id": f"text_{i:03d}", "source_text": t, "confidence": float(c), "polygon": [[float(x), float(y)] for x, y in p]} for i, (t, c, p) in enumerate(detect(pixels))]
                     rows.append((path, pixels.shape[1], pixels.shape[0], None, [r for r in found if r["confidence"] >= settings.min_confidence]))
-                except ValueError as e:
-                    rows.append((path, None, None, f"input: {e}", None))
+                except Exception as e:  # an image fails alone, whatever its recognizer raises
+                    rows.append((path, None, None, f"{'input' if isinstance(e, ValueError) else 'recognizer'}: {e}", None))
             yield pd.DataFrame(rows, columns=["path", "width", "height", "error", "regions"])
 
     return images.select("path", "content").mapInPandas(run, FOUND)
@@ -79,8 +79,8 @@ def processed(images: DataFrame, recognizer: Callable[[], imaging.Recognizer], s
                     if done.shape != pixels.shape:
                         raise ValueError("the size changed")
                     out.append((path, target, "completed", None, png.encode(done), png.encode(mask[..., None]), png.encode(np.ascontiguousarray(clean))))
-                except ValueError as e:
-                    out.append((path, target, "failed", f"input: {e}", None, None, None))
+                except Exception as e:  # an image fails alone, whatever inpainter or renderer raise
+                    out.append((path, target, "failed", f"{'input' if isinstance(e, ValueError) else 'render'}: {e}", None, None, None))
             yield pd.DataFrame(out, columns=[x.split()[0] for x in MADE.split(", ")])
 
     return rows.mapInPandas(run, MADE)

@@ -3,7 +3,12 @@
 Documents that a guard stops never reach the parser. Segments are planned into batches and sent through the
 model map; outputs are checked in the JVM; only segments that failed are sent again, first under other
 placeholders, then run by run; a document is rebuilt only if all of its segments are right, and fails alone.
-Two shuffles by document: one to plan batches, one to bring outputs back to their document.
+One call of the model for each batch of the plan, with its budget, languages and style; outputs that run in
+circles are asked for once more, with fewer beams and tokens, before they count as failed.
+
+Rows are known by a hash of their id and html (``page_key``): rows that share an id, or have none, are documents
+of their own; equal rows are segmented and translated once. Shuffles, by page_key: the pages, to find equal ones; their
+segments, to plan batches; the outputs, with the pages that they go back to.
 """
 
 from __future__ import annotations
@@ -14,22 +19,29 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import budget as B
 from ..functions import patterns as P
 from ..functions import text as T
 from ..operators import batching
 from ..operators import segmenting as S
 from ..operators.html_tree import Tree
-from ..operators.model import model_map
-from ..sources.config import Structured
+from ..operators.model import Guard, call_map, model_map
+from ..sources.config import Structured, Translation
 
 RUN = "struct<node_id:string,kind:string,raw:string,placeholder:string,offset_start:int,offset_end:int,sequence_index:int,slot_index:int,translate:boolean>"
-SEGMENT = f"doc_id string, segment_id string, sequence_index int, block_key string, block_text string, source_text string, token_count long, placeholder_order array<string>, contents array<string>, runs array<{RUN}>, error string"
+#: A page's own languages; null: the settings'.
+PAIR = ["source_language", "target_language"]
+SEGMENT = f"page_key string, doc_id string, source_language string, target_language string, segment_id string, sequence_index int, block_key string, block_text string, source_text string, token_count long, placeholder_order array<string>, contents array<string>, runs array<{RUN}>, error string"
 
 
 def guarded(pages: DataFrame, settings: Structured) -> DataFrame:
-    """pages (doc_id, html) with error: what the native guards stop."""
+    """pages (doc_id, html; source_language, target_language if there) with page_key and error: what the native guards stop."""
     error = F.when(F.col("html").isNull(), "not_a_string").when(F.length("html") > settings.max_characters, "document_too_long").when(F.contains("html", F.lit(P.PREFIX)), "structured")
-    return pages.select(F.col("doc_id").cast("string").alias("doc_id"), "html", error.alias("error"))
+    name, none = F.col("doc_id").cast("string"), F.lit(None).cast("string")
+    pair = [F.col(c) if c in pages.columns else none for c in PAIR]
+    parts = [F.coalesce(F.concat(F.lit("+"), c), F.lit("-")) for c in (name, *pair, F.col("html"))]
+    key = F.sha2(F.concat_ws("\0", *parts).cast("binary"), 256)
+    return pages.select(key.alias("page_key"), name.alias("doc_id"), "html", *[c.alias(k) for c, k in zip(pair, PAIR, strict=True)], error.alias("error"))
 
 
 def read(html: str, doc: str, settings: Structured) -> tuple[Tree, list[S.Segment], list[S.Segment]]:
@@ -46,16 +58,18 @@ def segmented(pages: DataFrame, settings: Structured | None = None) -> DataFrame
         names = [x.split()[0] for x in SEGMENT.split(", ")]
         for part in parts:
             rows = []
-            for doc, html in zip(part["doc_id"], part["html"], strict=True):
+            for html, *told in zip(part["html"], *(part[c] for c in kept), strict=True):
+                page = dict(zip(kept, told, strict=True))
                 try:
-                    _, text, attrs = read(html, doc, settings)
-                    rows += [{"doc_id": doc, "error": None} | s.row() | {"sequence_index": i} for i, s in enumerate([*text, *attrs])]
+                    _, text, attrs = read(html, page["doc_id"] or "", settings)
+                    rows += [page | {"error": None} | s.row() | {"sequence_index": i} for i, s in enumerate([*text, *attrs])]
                 except ValueError:
-                    rows.append({"doc_id": doc, "sequence_index": 0, "error": "structured"})
+                    rows.append(page | {"sequence_index": 0, "error": "structured"})
             yield pd.DataFrame(rows, columns=names)
 
-    good = guarded(pages, settings).filter(F.col("error").isNull())
-    return good.select("doc_id", "html").mapInPandas(run, SEGMENT)
+    kept = ["page_key", "doc_id", *PAIR]
+    good = guarded(pages, settings).filter(F.col("error").isNull()).dropDuplicates(["page_key"])
+    return good.select("html", *kept).mapInPandas(run, SEGMENT)
 
 
 def renamed(c: Column, tokens: Column, prefix: str) -> Column:
@@ -63,33 +77,56 @@ def renamed(c: Column, tokens: Column, prefix: str) -> Column:
     return F.aggregate(tokens, c, lambda s, t: F.replace(s, t, F.replace(t, F.lit(P.PREFIX), F.lit(prefix))))
 
 
-def run_by_run(rows: DataFrame, model: Callable | None) -> DataFrame:
+def run_by_run(rows: DataFrame, model: Callable | None, pair: tuple[Column, Column], guard: Guard, circles: Callable[[str, Column], Column]) -> DataFrame:
     """Every translated run sent alone, its identifiers protected, and put between its segment's placeholders."""
-    runs = rows.select("segment_id", F.posexplode("runs").alias("at", "run"))
+    key = ["page_key", "sequence_index"]
+    runs = rows.select(*key, *PAIR, F.posexplode("runs").alias("at", "run"))
     sent = runs.withColumn("spans", T.protected_spans(F.col("run.raw"))).withColumn("tokens", F.transform("spans", lambda s, i: T.token("span", i + 1)))
     asked = F.when(F.col("run.translate") & ~F.col("run.raw").rlike(r"(?U)^\s*\z"), T.protected(F.col("run.raw"), F.col("spans")))
-    out = model_map(sent.withColumn("asked", asked), "asked", "got", model)
-    fine = F.col("asked").isNull() | F.coalesce(T.placeholder_check(F.col("got"), F.col("tokens"))["ok"], F.lit(False))
+    budget = B.target_budget(B.measure(F.col("run.raw")), F.lit("sentence"))
+    out = model_map(sent.withColumn("asked", asked), "asked", "got", model, budget=budget, pair=pair, style=F.lit("sentence"), guard=guard)
+    fine = F.col("asked").isNull() | F.coalesce(T.placeholder_check(F.col("got"), F.col("tokens"))["ok"] & ~circles("got", B.measure(F.col("run.raw"))), F.lit(False))
     back = T.restored(F.col("got"), F.col("tokens"), F.transform("spans", lambda s: s["content"]))
     piece = F.when(~F.col("run.translate"), F.col("run.placeholder")).when(F.col("asked").isNull(), F.col("run.raw")).otherwise(back)
     pieces = F.array_sort(F.collect_list(F.struct("at", piece.alias("piece"))))
-    sums = out.groupBy("segment_id").agg(F.bool_and(fine).alias("fine"), pieces.alias("pieces"))
+    sums = out.groupBy(*key).agg(F.bool_and(fine).alias("fine"), pieces.alias("pieces"))
     text = F.when(F.col("fine"), F.array_join(F.transform("pieces", lambda p: p["piece"]), ""))
-    return rows.join(sums.select("segment_id", text.alias("output")), "segment_id")
+    return rows.join(sums.select(*key, text.alias("output")), key)
 
 
-def translated(segments: DataFrame, model: Callable | None = None, settings: Structured | None = None, held: list[DataFrame] | None = None) -> DataFrame:
-    """segments with output (null if none is right), retries and fallbacks.
+def translated(segments: DataFrame, model: Callable | None = None, settings: Structured | None = None, held: list[DataFrame] | None = None, translation: Translation | None = None) -> DataFrame:
+    """segments with output (null if none is right), fault (the class of what the model did wrong last), retries and fallbacks.
 
     What the model gave is persisted, so that it is asked once; ``held`` gets the persisted tables, for a caller
-    that lives on to release.
+    that lives on to release. The test model runs in the JVM, where asking again costs no more than keeping.
     """
     held = [] if held is None else held
-    settings = settings or Structured()
-    plan = batching.planned(segments.filter(F.col("error").isNull()).withColumn("seq", F.col("sequence_index") + 1), tokens="token_count", size=settings.batch_size)
+    settings, translation = settings or Structured(), translation or Translation()
+    generation = translation.generation
+    pair = tuple(F.coalesce(F.col(c), F.lit(default)) for c, default in zip(PAIR, (translation.source_language, translation.target_language), strict=True))
+    guard, style = Guard(settings.max_total_seconds, settings.segment_warning_seconds), F.lit("sentence")
+
+    def circles(c: str, tokens: Column) -> Column:
+        if model is None:
+            return F.lit(False)
+        return F.coalesce(B.degenerate(F.col(c), tokens, generation.max_repeated_token_run, generation.max_repeated_ngram_ratio), F.lit(False))
+
+    def kept(df: DataFrame) -> DataFrame:
+        if model is not None:
+            held.append(df.persist())
+        return df
+
+    plan = batching.planned(segments.filter(F.col("error").isNull()).withColumn("seq", F.col("sequence_index") + 1), doc="page_key", tokens="token_count", size=settings.batch_size)
+    first = call_map(plan, ["page_key", "batch_index"], "seq", "source_text", "output", "fault", model, "bucket", pair, style, guard)
+    if model is not None:  # what runs in circles is asked for once more, alone, in a simpler way
+        stuck = circles("output", F.col("token_count"))
+        first = kept(first.withColumn("stuck", stuck))
+        simpler = Guard(guard.seconds, guard.slow, generation.retry_num_beams)
+        again = model_map(first.filter("stuck").drop("output", "fault"), "source_text", "output", model, 1, F.least("bucket", F.lit(generation.retry_max_new_tokens)), pair, style, simpler, "fault")
+        again = again.withColumn("fault", F.when(stuck, "quality").otherwise(F.col("fault"))).withColumn("output", F.when(~stuck, F.col("output")))
+        first = first.filter("NOT stuck").unionByName(again).drop("stuck")
     fine = F.coalesce(T.placeholder_check(F.col("output"), F.col("placeholder_order"))["ok"], F.lit(False))
-    first = model_map(plan, "source_text", "output", model).withColumn("ok", fine).persist()
-    held.append(first)
+    first = kept(first.withColumn("ok", fine))
     done = first.filter("ok").withColumns({"retries": F.lit(0), "fallbacks": F.lit(0)}).drop("ok")
     left = first.filter("NOT ok").drop("ok", "output")
     for k in range(settings.max_retries):
@@ -97,51 +134,70 @@ def translated(segments: DataFrame, model: Callable | None = None, settings: Str
         other = F.concat(F.lit("__IT"), F.upper(F.substring(F.md5(F.concat("source_text", F.lit(str(k))).cast("binary")), 1, 4)), F.lit("_"))
         asked = F.aggregate("placeholder_order", F.col("source_text"), lambda s, t: F.replace(s, t, F.concat(other, F.substring(t, len(P.PREFIX) + 1, 20))))
         names = F.transform("placeholder_order", lambda t: F.concat(other, F.substring(t, len(P.PREFIX) + 1, 20)))
-        rows = model_map(left.withColumn("asked", asked).withColumn("names", names), "asked", "got", model)
-        again = F.coalesce(T.matches(F.col("got"), P.ANY_PLACEHOLDER) == F.col("names"), F.lit(False))
+        rows = model_map(left.withColumn("asked", asked).withColumn("names", names), "asked", "got", model, 1, F.col("bucket"), pair, style, guard, "last")
+        rows = rows.withColumn("fault", F.coalesce("last", "fault")).drop("last")
+        again = F.coalesce(T.matches(F.col("got"), P.ANY_PLACEHOLDER) == F.col("names"), F.lit(False)) & ~circles("got", F.col("token_count"))
         back = T.restored(F.col("got"), F.col("names"), F.col("placeholder_order"))
-        rows = rows.withColumn("output", F.when(again, back)).drop("asked", "names", "got").persist()
-        held.append(rows)
+        rows = kept(rows.withColumn("output", F.when(again, back)).drop("asked", "names", "got"))
         done = done.unionByName(rows.filter(F.col("output").isNotNull()).withColumns({"retries": F.lit(k + 1), "fallbacks": F.lit(0)}))
         left = rows.filter(F.col("output").isNull()).drop("output")
-    fallen = run_by_run(left, model).withColumns({"retries": F.lit(settings.max_retries), "fallbacks": F.lit(1)})
+    fallen = run_by_run(left, model, pair, guard, circles).withColumns({"retries": F.lit(settings.max_retries), "fallbacks": F.lit(1)})
     return done.unionByName(fallen.select(done.columns))
 
 
 RESULT = "doc_id string, html string, error string, segment_count long, total_source_tokens long, sum_requested_target_tokens long, batch_generation_budget long, batch_count long, retry_count long, fallback_count long, protected_run_count long, fingerprint string"
 
 
-def translate_html(pages: DataFrame, model: Callable | None = None, settings: Structured | None = None, held: list[DataFrame] | None = None) -> DataFrame:
-    """RESULT for each page (doc_id, html): the translated document, or the class of what stopped it."""
+#: Faults of the model that are a document's own error class; any other is a structured one.
+SHOWN = ("quality", "device", "model_load", "deadline")
+
+
+def segment_of(x: dict) -> S.Segment:
+    """What rebuilding needs of a segment."""
+    runs = [S.Run(r["node_id"], "", r["raw"], r["placeholder"], slot_index=None if r["slot_index"] is None else int(r["slot_index"])) for r in x["runs"]]
+    return S.Segment(x["segment_id"], int(x["sequence_index"]), "", "", "", 0, runs)
+
+
+def translate_html(pages: DataFrame, model: Callable | None = None, settings: Structured | None = None, held: list[DataFrame] | None = None, translation: Translation | None = None) -> DataFrame:
+    """RESULT for each page (doc_id, html; source_language, target_language if there): the translated document, or the class of what stopped it."""
     settings = settings or Structured()
     told = guarded(pages, settings)
-    done = translated(segmented(pages, settings), model, settings, held)
+    done = translated(segmented(pages, settings), model, settings, held, translation)
     runs = F.size(F.filter("runs", lambda r: ~r["translate"]))
-    sums = done.groupBy("doc_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("segment_id", "output"))).alias("outputs"), F.count("*").alias("segment_count"), F.sum("token_count").alias("total_source_tokens"), F.sum("budget").alias("sum_requested_target_tokens"),
+    less = F.transform("runs", lambda r: F.struct(r["node_id"].alias("node_id"), r["raw"].alias("raw"), r["placeholder"].alias("placeholder"), r["slot_index"].alias("slot_index")))
+    fault = F.when(F.col("output").isNull(), F.when(F.col("fault").isin(*SHOWN), F.col("fault")).otherwise("structured"))
+    sums = done.groupBy("page_key").agg(
+        F.array_sort(F.collect_list(F.struct("sequence_index", "segment_id", "output", less.alias("runs")))).alias("sent"), F.min(fault).alias("fault"), F.count("*").alias("segment_count"), F.sum("token_count").alias("total_source_tokens"), F.sum("budget").alias("sum_requested_target_tokens"),
         F.sum("bucket").alias("batch_generation_budget"), F.max("batch_index").alias("batch_count"), F.sum("retries").alias("retry_count"), F.sum("fallbacks").alias("fallback_count"), F.sum(runs).alias("protected_run_count"),
     )
     counts = ["segment_count", "total_source_tokens", "sum_requested_target_tokens", "batch_generation_budget", "batch_count", "retry_count", "fallback_count", "protected_run_count"]
-    rows = told.filter(F.col("error").isNull()).join(sums, "doc_id", "left").select("doc_id", "html", "outputs", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts])
+    rows = told.filter(F.col("error").isNull()).join(sums, "page_key", "left").select("doc_id", "html", "sent", "fault", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts])
 
     def rebuild(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             html, errors, prints = [], [], []
-            for doc, source, outputs in zip(part["doc_id"], part["html"], part["outputs"], strict=True):
+            for doc, source, sent, fault in zip(part["doc_id"], part["html"], part["sent"], part["fault"], strict=True):
                 text, error, mark = None, None, None
                 try:
-                    tree, some, attrs = read(source, doc, settings)
-                    outputs = dict(outputs) if outputs is not None else {}
-                    if any(outputs.get(s.segment_id) is None for s in [*some, *attrs]):
-                        raise S.Rejected("a segment has no right translation")
+                    if sent is None:  # nothing was sent: there is nothing to send, or the page can't be segmented
+                        tree, *some = read(source, doc or "", settings)
+                        if any(some):
+                            raise S.Rejected("segments without an output")
+                        sent = []
+                    else:
+                        tree = Tree(source, settings.excluded_tags, settings.excluded_classes)
                     mark = tree.fingerprint(frozenset(settings.translatable_attributes))
-                    text = S.rebuilt(tree, some, outputs, attrs, settings.translatable_attributes)
+                    if fault is None:
+                        each = [segment_of(x) for x in sent]
+                        attrs = [x for x in each if x.segment_id.startswith("attr:")]
+                        text = S.rebuilt(tree, each[: len(each) - len(attrs)], {x["segment_id"]: x["output"] for x in sent}, attrs, settings.translatable_attributes)
+                    error = fault
                 except ValueError:
                     error = "structured"
                 html.append(text)
                 errors.append(error)
                 prints.append(mark)
-            yield part.drop(columns=["outputs"]).assign(html=html, error=errors, fingerprint=prints)[[x.split()[0] for x in RESULT.split(", ")]]
+            yield part.drop(columns=["sent", "fault"]).assign(html=html, error=errors, fingerprint=prints)[[x.split()[0] for x in RESULT.split(", ")]]
 
     stopped = told.filter(F.col("error").isNotNull()).select("doc_id", F.lit(None).cast("string").alias("html"), "error", *[F.lit(0).cast("long").alias(c) for c in counts], F.lit(None).cast("string").alias("fingerprint"))
     return rows.mapInPandas(rebuild, RESULT).unionByName(stopped)

@@ -84,8 +84,11 @@ class Structured:
     excluded_classes: tuple[str, ...] = ("notranslate",)
     max_retries: int = 1
     batch_size: int = 4
+    max_total_seconds: float = 600
+    segment_warning_seconds: float = 60
 
     def __post_init__(self) -> None:
+        need(self.max_total_seconds > 0 and self.segment_warning_seconds > 0, "seconds must be positive")
         need(min(self.max_characters, self.max_segment_tokens, self.max_target_tokens, self.batch_size) >= 1, "sizes must be positive")
         need(self.max_retries >= 0, "max_retries must not be negative")
         for p in self.preserve_patterns:

@@ -15,31 +15,39 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..plans.plain import translate
-from ..sources.config import style
+from ..sources.config import Translation, style
 
 REQUEST = "request_id string, text string, format string, source_language string, target_language string, style string"
 # The status that each class of errors answers with; any other is 500.
 STATUS = {"input": 400, "quality": 422, "device": 503, "model_load": 503, "document_too_long": 422, "not_a_string": 422, "request_invalid": 422}
 
 
+#: What a model call can end with that is nobody's input.
+CALL_FAULTS = ("model_call", "bad_item", "batch_count_mismatch")
+
+
 def status_of(error_class: Column) -> Column:
     table = F.create_map(*[x for k, v in STATUS.items() for x in (F.lit(k), F.lit(v).cast("long"))])
     return F.when(error_class.isNull(), F.lit(200).cast("long")).otherwise(F.coalesce(table[error_class], F.lit(500).cast("long")))
 
 
-def answers(requests: DataFrame, model: Callable | None = None, held: list[DataFrame] | None = None) -> DataFrame:
-    """An answer for every request; each fails alone. ``held`` gets the tables that are persisted on the way."""
+def answers(requests: DataFrame, model: Callable | None = None, held: list[DataFrame] | None = None, translation: Translation | None = None) -> DataFrame:
+    """An answer for every request, in its own languages; each fails alone, requests that share an id too. ``held`` gets the tables that are persisted on the way."""
     from ..plans.structured import translate_html
 
+    translation = translation or Translation()
     kind = F.coalesce("format", F.lit("plain"))
     rows = requests.withColumn("__style", style(F.col("style"))).withColumn("__kind", kind)
     bad = F.when(F.col("text").isNull() | ~F.col("__kind").isin("plain", "html"), "request_invalid").when(F.col("__style.error").isNotNull(), "input")
     rows = rows.withColumn("__bad", bad)
     refused = rows.filter(F.col("__bad").isNotNull()).select("request_id", F.lit(None).cast("string").alias("translation"), F.col("__bad").alias("error_class"))
     good = rows.filter(F.col("__bad").isNull())
-    plain = translate(good.filter("__kind = 'plain'"), "text", model, F.col("__style.style"), retry=model is not None, held=held)
-    plain = plain.select("request_id", "translation", F.when(F.col("error") == "degenerate_output", "quality").when(F.col("error").isNotNull(), "input").when(F.col("translation").isNull(), "other").alias("error_class"))
-    html = translate_html(good.filter("__kind = 'html'").select(F.col("request_id").alias("doc_id"), F.col("text").alias("html")), model, held=held)
+    pair = tuple(F.coalesce(F.col(c), F.lit(default)) for c, default in (("source_language", translation.source_language), ("target_language", translation.target_language)))
+    plain = translate(good.filter("__kind = 'plain'"), "text", model, F.col("__style.style"), retry=model is not None, held=held, translation=translation, pair=pair)
+    error = F.when(F.col("error").isin("degenerate_output", "phrase_rejected"), "quality").when(F.col("error").isin("device", "model_load", "deadline"), F.col("error")).when(F.col("error").isin(*CALL_FAULTS), "other").when(F.col("error").isNotNull(), "input").when(F.col("translation").isNull(), "other")
+    plain = plain.select("request_id", "translation", error.alias("error_class"))
+    pages = good.filter("__kind = 'html'").select(F.col("request_id").alias("doc_id"), F.col("text").alias("html"), "source_language", "target_language")
+    html = translate_html(pages, model, held=held, translation=translation)
     html = html.select(F.col("doc_id").alias("request_id"), F.col("html").alias("translation"), F.col("error").alias("error_class"))
     out = refused.unionByName(plain).unionByName(html)
     return out.withColumn("status", status_of(F.col("error_class"))).withColumn("code", F.coalesce("error_class", F.lit("ok")))

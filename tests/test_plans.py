@@ -53,6 +53,82 @@ def test_documents_fail_alone_and_whole(spark):
     assert rows == {"a": (None, "structured"), "f": ("", None)}
 
 
+def test_pages_that_share_an_id_or_have_none(spark):
+    """Equal and different pages under one id, and pages without one, are documents of their own."""
+    rows = [("a", "<p>前</p>"), ("a", "<p>前</p>"), ("a", "<p>中 x</p>"), (None, "<p>后</p>"), (None, "<p>好</p>"), (None, None)]
+    done = structured.translate_html(spark.createDataFrame(rows, "doc_id string, html string")).collect()
+    got = sorted((str(r["doc_id"]), str(r["html"]), str(r["error"])) for r in done)
+    assert got == [("None", "<p>EN:后</p>", "None"), ("None", "<p>EN:好</p>", "None"), ("None", "None", "not_a_string"), ("a", "<p>EN:中 x</p>", "None"), ("a", "<p>EN:前</p>", "None"), ("a", "<p>EN:前</p>", "None")]
+
+
+def raising():
+    def translate(texts):
+        raise RuntimeError("CUDA out of memory" if "好" in texts[0] else "no")
+
+    return translate
+
+
+def unloadable():
+    raise OSError("no such model")
+
+
+def test_what_a_model_raises_fails_its_rows_alone(spark):
+    rows = [("a", "<p>前</p>"), ("b", "<p>好</p>"), ("c", "<p>English</p>")]
+    table = spark.createDataFrame(rows, "doc_id string, html string")
+    got = {r["doc_id"]: r["error"] for r in structured.translate_html(table, raising).collect()}
+    assert got == {"a": "structured", "b": "device", "c": None}
+    assert {r["doc_id"]: r["error"] for r in structured.translate_html(table, unloadable).collect()} == {"a": "model_load", "b": "model_load", "c": None}
+    plain = spark.createDataFrame([(1, "前"), (2, None)], "id long, text string")
+    assert {r["id"]: r["error"] for r in translate(plain, "text", raising).collect()} == {1: "model_call", 2: "null_input"}
+
+
+def test_calls_are_those_of_the_plan(spark, tmp_path):
+    """A recording model sees one call a batch, with its budget, languages and style, as many as the plan reports."""
+    log = f"{tmp_path}/calls"
+
+    def recording():
+        def answer(texts, call):
+            with open(log, "a") as f:
+                f.write(json.dumps([call.budget, len(texts), call.source_language, call.target_language, call.style]) + "\n")
+            return [re.sub("([一-鿿]+)", r"EN:\1", t) for t in texts]
+
+        return answer
+
+    letters = "".join(chr(0x4E00 + i) for i in range(600))
+    html = "".join(f"<p>{letters[:n]}</p>" for n in (20, 66, 600, 20, 66, 600))
+    page = spark.createDataFrame([("d", html, "zho_Hans", "fra_Latn")], "doc_id string, html string, source_language string, target_language string")
+    row = structured.translate_html(page, recording).first()
+    calls = [json.loads(x) for x in open(log)]
+    assert sorted(c[0] for c in calls) == sorted([64, 128, 400, 128, 400]) and sum(c[1] for c in calls) == 6
+    assert all(c[2:] == ["zho_Hans", "fra_Latn", "sentence"] for c in calls)
+    assert (row["batch_count"], row["sum_requested_target_tokens"], row["batch_generation_budget"], row["error"]) == (5, 1092, 1184, None)
+
+
+def test_outputs_in_circles_are_asked_for_once_more(spark):
+    """The second time with one beam and at most 64 tokens; one that goes on fails its document."""
+
+    def circling():
+        def answer(texts, call):
+            simple = call.beams == 1 and call.budget <= 64
+            return [t if simple and "后" not in t else "go go go go go" for t in texts]
+
+        return answer
+
+    table = spark.createDataFrame([("a", "<p>前</p>"), ("b", "<p>后</p>")], "doc_id string, html string")
+    got = {r["doc_id"]: (r["html"], r["error"]) for r in structured.translate_html(table, circling).collect()}
+    assert got == {"a": ("<p>前</p>", None), "b": (None, "quality")}
+
+
+def test_stream_goes_on_after_requests_that_share_an_id(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    twice = [{"request_id": "1", "text": "<p>中</p>", "format": "html"}, {"request_id": "1", "text": "<p>好</p>", "format": "html"}, {"text": "<p>前</p>", "format": "html"}]
+    for n, some in enumerate((twice, [{"request_id": "2", "text": "<p>后</p>", "format": "html"}])):
+        (tmp_path / f"in/{n}.json").write_text("\n".join(json.dumps(r, ensure_ascii=False) for r in some))
+        service.serve(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/check", once=True).awaitTermination(120)
+    rows = sorted((str(r["request_id"]), r["translation"], r["status"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert rows == [("1", "<p>EN:中</p>", 200), ("1", "<p>EN:好</p>", 200), ("2", "<p>EN:后</p>", 200), ("None", "<p>EN:前</p>", 200)]
+
+
 def test_attributes(spark):
     page = spark.createDataFrame([("a", '<img alt="加厚 ABC-123 面料" src="s.png">')], "doc_id string, html string")
     settings = config.Structured(translatable_attributes=("alt",))
