@@ -5,7 +5,8 @@ Fingerprints: the majority bits of the XXH64 hashes (seed 42) of word shingles,
 Equal fingerprints collapse into one class first (where similarity is verified, only those of equal shingle sets:
 a digest of the set follows the fingerprint in the class's name). Then
 
-1. every class gets its row of the pivot table, once: Hamming distances to PIVOTS reference fingerprints;
+1. every class gets its row of the pivot table: Hamming distances to PIVOTS reference fingerprints (those of 64 bits once,
+   before they go to their buckets);
 2. classes meet in buckets. For few allowed bits these are pigeonhole keys (of ``max_bits + k`` bit blocks at
    least k are equal in a linked pair, so some k equal blocks are a key of both: no link is lost; k grows with
    the number of classes, so that buckets don't). For many allowed bits they are keys of sampled bits, as many tables as reach
@@ -90,10 +91,10 @@ def voted(h: np.ndarray, width: int) -> bytes:
 
 def named(text: str | None, words: int, width: int) -> bytes:
     """The fingerprint of the shingle set, without repeats, and a digest of it: texts of the same name have similarity 1."""
-    from xxhash import xxh3_128_digest
+    from xxhash import xxh3_64_digest
 
     h = np.unique(shingles(text, words))
-    return voted(h, width) + xxh3_128_digest(h.astype("<u8").tobytes())
+    return voted(h, width) + xxh3_64_digest(h.astype("<u8").tobytes())
 
 
 def fingerprints(docs: DataFrame, words: int, width: int = 1, id_col: str = "doc_id", text_col: str = "text", sets: bool = False) -> DataFrame:
@@ -149,13 +150,19 @@ def bit_sets(width: int, max_bits: int, similarity: float, recall: float, classe
 
 
 def with_pivots(classes: DataFrame, width: int) -> DataFrame:
-    """classes (fp) with near: the class's row of the pivot table, a byte a pivot (255 stands for 255 and 256, which only loosens the bound)."""
+    """classes (fp) with near: the class's row of the pivot table, a byte a pivot.
+
+    Wide fingerprints leave it empty: they have a hundred keys a class, with each of which it would be shuffled, and
+    buckets compute it from the fingerprint that they get.
+    """
+    if width > 1:
+        return classes.select("fp", F.lit(b"").alias("near"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4096):
             if batch.num_rows:
                 fps = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(batch.num_rows, -1).copy().view(">u8").astype(np.uint64)[:, :width]
-                near = np.minimum(pivot_table(fps), 255).astype(np.uint8)
+                near = pivot_table(fps).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in near], pa.binary())], ["fp", "near"])
 
     return classes.select("fp").mapInArrow(run, "fp binary, near binary")
@@ -219,18 +226,21 @@ def links(classes: DataFrame, width: int, max_bits: int, similarity: float = 0.8
     classes = with_pivots(classes, width)
     rows = celled(keyed(classes, bit_sets(width, max_bits, similarity, recall, classes.count())), "bucket")
 
+    held_pivots = PIVOTS if width == 1 else 0
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
 
         def joined(group: np.ndarray, raw: np.ndarray) -> pa.RecordBatch:
-            names = np.ascontiguousarray(raw[:, :-PIVOTS])
-            pairs = forest(group, names.view(">u8").astype(np.uint64).reshape(len(group), -1)[:, :width], raw[:, -PIVOTS:].astype(np.int16), max_bits)
+            names = np.ascontiguousarray(raw[:, : raw.shape[1] - held_pivots])
+            fps = names.view(">u8").astype(np.uint64).reshape(len(group), -1)[:, :width]
+            pairs = forest(group, fps, raw[:, -PIVOTS:].astype(np.int16) if held_pivots else pivot_table(fps), max_bits)
             return edges_of([r.tobytes() for r in names], pairs)
 
         for batch in slices(batches, 8192):
             if not batch.num_rows:
                 continue
-            raw = np.concatenate([np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3)], axis=1)
+            raw = np.frombuffer(b"".join(x + y for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)), np.uint8).reshape(batch.num_rows, -1)
             key = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1)
             if held:
                 key, raw = np.concatenate([held[0], key]), np.concatenate([held[1], raw])
