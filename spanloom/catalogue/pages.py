@@ -14,13 +14,25 @@ from ..sources.config import Structured
 from .base import HAN_FOR_VOWELS, query, spread, table
 
 ATTRS = ("title", "alt")
+MORE = '<p>型号 ABC-12345 支持 USB-C 接口</p><img alt="加厚防水" src="a.png"><div class="notranslate">不译 <b>这里</b></div><p translate="no">保留</p><pre>代码 x=1</pre>'
+PARTS = r"(?s)<script.*?</script>|<style.*?</style>|<[^>]*>|&[A-Za-z0-9#]+;|[^<&]+|[<&]"
+#: The same pages in DuckDB, and what stands outside of their tags, scripts and styles, without blanks.
+PAGES_SQL = f"""h AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN array_to_string(list_transform(regexp_extract_all(html, '{PARTS}'), lambda p: CASE WHEN starts_with(p, '<') OR starts_with(p, '&') THEN p ELSE translate(p, '{HAN_FOR_VOWELS[0]}', '{HAN_FOR_VOWELS[1]}') END), '') ELSE html END AS x FROM pages),
+ g AS (SELECT page_id, CAST(page_id AS VARCHAR) AS doc_id, CASE WHEN page_id % 4 = 0 THEN x || '{MORE}' ELSE x END AS html FROM h)"""
+BARE = r"(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>|<[^>]*>|\s+"
+BARE_SQL = f"regexp_replace(html, '{BARE}', '', 'g')"
+
+
+def bare(html):
+    """A page's text outside of tags, scripts and styles, without blanks."""
+    return F.regexp_replace(html, BARE, "")
 
 
 def _pages(spark, sf_dir):
     """doc_id, html; every fourth page holds an image and a link with attributes to translate, and a part that isn't."""
     rows = spread(table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("doc_id"), "page_id", "html"))
-    more = F.lit('<p>型号 ABC-12345 支持 USB-C 接口</p><img alt="加厚防水" src="a.png"><div class="notranslate">不译 <b>这里</b></div><p translate="no">保留</p><pre>代码 x=1</pre>')
-    parts = F.regexp_extract_all("html", F.lit(r"(?s)<script.*?</script>|<style.*?</style>|<[^>]*>|&[A-Za-z0-9#]+;|[^<&]+|[<&]"), F.lit(0))
+    more = F.lit(MORE)
+    parts = F.regexp_extract_all("html", F.lit(PARTS), F.lit(0))
     han = F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[<&]"), p).otherwise(F.translate(p, *HAN_FOR_VOWELS))), "")
     html = F.when(F.col("page_id") % 2 == 0, han).otherwise(F.col("html"))
     return rows.select("doc_id", F.when(F.col("page_id") % 4 == 0, F.concat(html, more)).otherwise(html).alias("html"))
@@ -61,15 +73,16 @@ def raw_pairing(spark, sf_dir):
     return _per_page(spark, sf_dir, "doc_id string, spelt boolean, spelt_after boolean", each)
 
 
-@query()
+@query(f"WITH {PAGES_SQL} SELECT doc_id, true AS stable, md5({BARE_SQL}) AS text_md5 FROM g")
 def html_roundtrip(spark, sf_dir):
-    """Serialized pages; serializing what was serialized changes nothing more."""
+    """Serialized pages: serializing what was serialized changes nothing more, and their text is the page's."""
 
     def each(doc, html, tree):
         once = tree.serialized()
         return [(doc, once, Tree(once).serialized() == once)]
 
-    return _per_page(spark, sf_dir, "doc_id string, html string, stable boolean", each)
+    rows = _per_page(spark, sf_dir, "doc_id string, html string, stable boolean", each)
+    return rows.select("doc_id", "stable", F.md5(bare("html").cast("binary")).alias("text_md5"))
 
 
 @query()
@@ -77,7 +90,7 @@ def fingerprint(spark, sf_dir):
     return _per_page(spark, sf_dir, "doc_id string, fingerprint string", lambda doc, html, tree: [(doc, tree.fingerprint(frozenset(ATTRS)))])
 
 
-@query()
+@query("SELECT CAST(page_id AS VARCHAR) AS doc_id, true AS same, false AS same_with_more FROM pages")
 def structure_equal(spark, sf_dir):
     """Each page against its serialized form, and against one with a node more."""
 
@@ -88,9 +101,16 @@ def structure_equal(spark, sf_dir):
     return _per_page(spark, sf_dir, "doc_id string, same boolean, same_with_more boolean", each)
 
 
-@query()
+_EXCLUDED_SQL = f"""{PAGES_SQL},
+ k AS (SELECT doc_id, page_id, list_concat(list_transform(regexp_extract_all(html, '(?s)<(?:script|style)[^>]*>.*?</(?:script|style)>'), lambda x: regexp_replace(regexp_replace(x, '^<[^>]*>', ''), '</[a-z]*>$', '')),
+   CASE WHEN page_id % 4 = 0 THEN ['不译 ', '这里', '保留', '代码 x=1'] ELSE CAST([] AS VARCHAR[]) END) AS texts FROM g),
+ e AS (SELECT doc_id, unnest(texts) AS text FROM k)"""
+
+
+@query(f"WITH {_EXCLUDED_SQL} SELECT doc_id, text FROM e WHERE text <> ''")
 def excluded_nodes(spark, sf_dir):
-    return _per_page(spark, sf_dir, "doc_id string, node_id string, text string", lambda doc, html, tree: [(doc, n.id, n.text) for n in tree.walk() if n.kind == "text" and n.excluded])
+    """The texts that are never translated: scripts, styles, code, and what is marked so."""
+    return _per_page(spark, sf_dir, "doc_id string, text string", lambda doc, html, tree: [(doc, n.text) for n in tree.walk() if n.kind == "text" and n.excluded])
 
 
 @query()
@@ -121,16 +141,19 @@ def text_runs(spark, sf_dir):
     return _segments(spark, sf_dir).select("doc_id", "segment_id", F.explode("runs").alias("r")).select("doc_id", "segment_id", "r.*")
 
 
+KINDS = ["chinese", "tag", "attribute", "entity_protected", "identifier_protected", "model_number_protected", "english_protected"]
+
+
 @query()
 def run_stats(spark, sf_dir):
-    """Runs of each kind, and how many of them are held back."""
-    runs = text_runs(spark, sf_dir)
-    return runs.groupBy("doc_id").pivot("kind", ["chinese", "tag", "attribute", "entity_protected", "identifier_protected", "english_protected"]).count().na.fill(0)
+    """Runs of each kind, for every page."""
+    counts = text_runs(spark, sf_dir).groupBy("doc_id").pivot("kind", KINDS).count()
+    return _pages(spark, sf_dir).select("doc_id").join(counts, "doc_id", "left").na.fill(0, KINDS)
 
 
-@query()
+@query("SELECT CAST(page_id AS VARCHAR) AS doc_id, true AS covered, true AS gapless FROM pages WHERE page_id % 2 = 0")
 def coverage_check(spark, sf_dir):
-    """Per block: whether its runs, in order, are its text without gap or overlap. Computed from the rows, in the JVM."""
+    """Per page with anything to translate: whether each block's runs, in order, are its text without gap or overlap. Computed from the rows, in the JVM."""
     rows = _segments(spark, sf_dir).filter("error IS NULL")
     runs = rows.select("doc_id", "block_key", "block_text", "sequence_index", F.explode("runs").alias("r"))
     each = F.array_sort(F.collect_list(F.struct("sequence_index", F.col("r.sequence_index").alias("n"), F.col("r.raw").alias("raw"), F.col("r.offset_start").alias("a"), F.col("r.offset_end").alias("b"))))
@@ -138,24 +161,39 @@ def coverage_check(spark, sf_dir):
     joined = F.array_join(F.transform("runs", lambda r: r["raw"]), "") == F.col("block_text")
     starts, ends = F.transform("runs", lambda r: r["a"]), F.transform("runs", lambda r: r["b"])
     gapless = starts == F.concat(F.array(F.lit(0)), F.slice(ends, F.lit(1), F.size(ends) - 1))
-    return sums.select("doc_id", "block_key", F.size("runs").alias("runs"), joined.alias("covered"), gapless.alias("gapless"))
+    return sums.select("doc_id", joined.alias("covered"), gapless.alias("gapless")).groupBy("doc_id").agg(F.bool_and("covered").alias("covered"), F.bool_and("gapless").alias("gapless"))
 
 
-@query()
+@query("SELECT CAST(page_id AS VARCHAR) AS doc_id, 'attr:' || page_id || ':0000' AS segment_id, '加厚防水' AS block_text, '加厚防水' AS source_text, CAST(2 AS BIGINT) AS token_count FROM pages WHERE page_id % 4 = 0")
 def attr_segments(spark, sf_dir):
     return _segments(spark, sf_dir).filter("startswith(segment_id, 'attr:')").select("doc_id", "segment_id", "block_text", "source_text", "token_count")
 
 
+def _translated(spark, sf_dir):
+    return structured.translate_html(_pages(spark, sf_dir), settings=Structured(translatable_attributes=ATTRS))
+
+
 @query()
 def html_translate(spark, sf_dir):
     """Whole pages through the test model."""
-    return structured.translate_html(_pages(spark, sf_dir), settings=Structured(translatable_attributes=ATTRS))
+    return _translated(spark, sf_dir)
 
 
-@query()
+@query(f"""WITH {PAGES_SQL}, m AS (SELECT doc_id, page_id, html FROM g)
+SELECT doc_id, true AS translated, md5(replace(regexp_replace({BARE_SQL}, '[A-Za-z]', '', 'g'), ':', '')) AS text_md5, CAST(CASE WHEN page_id % 4 = 0 THEN 1 ELSE 0 END AS BIGINT) AS alt_marked FROM m""")
+def html_translate_text(spark, sf_dir):
+    """What the translated pages hold outside of tags, but for Latin letters and colons, which the test model adds: the
+    pages' own text, all of it, in order; and how many attributes were translated."""
+    done = _translated(spark, sf_dir)
+    text = F.replace(F.regexp_replace(bare("html"), "[A-Za-z]", ""), F.lit(":"), F.lit(""))
+    marked = F.size(F.split("html", ' alt="EN:加厚防水"')) - 1
+    return done.select("doc_id", F.col("error").isNull().alias("translated"), F.md5(text.cast("binary")).alias("text_md5"), marked.cast("long").alias("alt_marked"))
+
+
+@query(f"WITH {_EXCLUDED_SQL} SELECT doc_id, CAST(count(*) AS BIGINT) AS nodes, true AS same FROM e WHERE text <> '' GROUP BY doc_id")
 def excluded_unchanged(spark, sf_dir):
-    """Texts that are never translated, before and after, joined by node: equal in every row."""
-    done = html_translate(spark, sf_dir).filter("error IS NULL").select("doc_id", F.col("html").alias("done"))
+    """Per page: texts that are never translated, before and after, joined by node: equal in every row."""
+    done = _translated(spark, sf_dir).filter("error IS NULL").select("doc_id", F.col("html").alias("done"))
     both = _pages(spark, sf_dir).join(done, "doc_id")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -167,7 +205,7 @@ def excluded_unchanged(spark, sf_dir):
                 rows += [(doc, k, S.MARKER.sub("&", left[k]) == S.MARKER.sub("&", right.get(k, ""))) for k in left]
             yield pd.DataFrame(rows, columns=["doc_id", "node_id", "same"])
 
-    return both.mapInPandas(run, "doc_id string, node_id string, same boolean")
+    return both.mapInPandas(run, "doc_id string, node_id string, same boolean").groupBy("doc_id").agg(F.count("*").alias("nodes"), F.bool_and("same").alias("same"))
 
 
 def _faulty():
@@ -196,4 +234,5 @@ def _faulty():
 def recovery(spark, sf_dir):
     """How many segments of each page needed a second prefix or the run-by-run way with a model that spoils outputs."""
     done = structured.translated(_segments(spark, sf_dir), _faulty, Structured(translatable_attributes=ATTRS))
-    return done.groupBy("doc_id").agg(F.count("*").alias("segments"), F.count("output").alias("right"), F.sum("retries").alias("retries"), F.sum("fallbacks").alias("fallbacks"))
+    counts = done.groupBy("doc_id").agg(F.count("*").alias("segments"), F.count("output").alias("right"), F.sum("retries").alias("retries"), F.sum("fallbacks").alias("fallbacks"))
+    return _pages(spark, sf_dir).select("doc_id").join(counts, "doc_id", "left").na.fill(0)

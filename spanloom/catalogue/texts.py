@@ -168,7 +168,7 @@ def last_boundary(spark, sf_dir):
 @query(f"""WITH {DOCS_SQL}, h AS (SELECT doc_id, regexp_extract_all(t, '[\\x{{4e00}}-\\x{{9fff}}]{{2,}}') AS rs FROM d),
 u AS (SELECT doc_id, unnest(rs) AS run, unnest(range(len(rs))) AS k FROM h),
 g AS (SELECT doc_id, n, k, i, substr(run, i, n) AS term FROM u, (VALUES (2), (3)) AS v(n), LATERAL (SELECT unnest(range(1, length(run) - n + 2)) AS i)),
-c AS (SELECT doc_id, term, count(*) AS uses, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, min(n), min(k * 100000 + i)) AS place FROM g GROUP BY doc_id, term)
+c AS (SELECT doc_id, term, count(*) AS uses, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, min(n), min((k, i))) AS place FROM g GROUP BY doc_id, term)
 SELECT doc_id, term, CAST(uses AS BIGINT) AS uses FROM c WHERE place <= 20 AND uses >= 3""")
 def repeated_terms(spark, sf_dir):
     """Han pairs and triples by frequency: a document's first 20 (the report's limit), of them those used 3 times or more."""
@@ -176,19 +176,20 @@ def repeated_terms(spark, sf_dir):
 
     runs = docs(spark, sf_dir).select("doc_id", F.posexplode(T.matches(F.col("t"), P.HAN + "{2,}")).alias("k", "run"))
     one = lambda n: F.transform(F.when(F.length("run") >= n, F.sequence(F.lit(1), F.length("run") - (n - 1))).otherwise(F.array().cast("array<int>")), lambda i: F.struct(F.lit(n).alias("n"), i.alias("i"), F.substring("run", i, F.lit(n)).alias("term")))
-    grams = runs.select("doc_id", "k", F.explode(F.concat(one(2), one(3))).alias("g")).select("doc_id", "g.term", "g.n", (F.col("k") * 100000 + F.col("g.i")).alias("at"))
+    grams = runs.select("doc_id", "k", F.explode(F.concat(one(2), one(3))).alias("g")).select("doc_id", "g.term", "g.n", F.struct("k", "g.i").alias("at"))
     sums = grams.groupBy("doc_id", "term").agg(F.count("*").alias("uses"), F.min("n").alias("n"), F.min("at").alias("at"))
     order = W.partitionBy("doc_id").orderBy(F.desc("uses"), "n", "at")
     return sums.withColumn("place", F.row_number().over(order)).filter("place <= 20 AND uses >= 3").select("doc_id", "term", "uses")
 
 
-@query(f"WITH {DOCS_SQL} SELECT doc_id, regexp_replace(t, '([\\x{{4e00}}-\\x{{9fff}}]+)', 'EN:\\1', 'g') AS translated FROM d WHERE length(t) <= 4000 AND regexp_matches(t, '\\S')")
+@query(f"""WITH {DOCS_SQL}, p AS (SELECT doc_id, t, regexp_replace(regexp_replace(regexp_replace(t, '\\r\\n|\\r', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS c FROM d),
+ e AS (SELECT *, CASE WHEN c = '' THEN 'empty_input' WHEN length(c) > 4000 THEN 'input_too_long' END AS error FROM p)
+SELECT doc_id, CASE WHEN error IS NULL THEN regexp_replace(t, '([\\x{{4e00}}-\\x{{9fff}}]+)', 'EN:\\1', 'g') END AS translated, error FROM e""")
 def translate_plain(spark, sf_dir):
-    """Plain translation with the test model, which marks every run of Han characters."""
+    """Plain translation with the test model, which marks every run of Han characters; or what stopped a text."""
     from ..plans.plain import translate
 
-    done = translate(docs(spark, sf_dir), "t", clean=False)
-    return done.filter(F.col("error").isNull()).select("doc_id", F.col("translation").alias("translated"))
+    return translate(docs(spark, sf_dir), "t", clean=False).select("doc_id", F.col("translation").alias("translated"), "error")
 
 
 @query(f"WITH {DOCS_SQL} SELECT doc_id, '[' || t || ']' AS translated FROM d")
