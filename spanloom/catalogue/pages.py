@@ -63,7 +63,27 @@ def html_nodes(spark, sf_dir):
     return _per_page(spark, sf_dir, "doc_id string, ord int, node_id string, parent_id string, depth int, kind string, tag string, attrs string, text string, raw boolean", each)
 
 
-@query()
+TAGS = ["title", "style", "script", "nav", "ul", "li", "a", "div", "article", "h1", "br", "footer", "img", "pre"]
+
+
+@query(f"WITH {PAGES_SQL} SELECT doc_id, true AS ordered, true AS nested, " + ", ".join(f"CAST(len(regexp_extract_all(html, '<{t}[ >]')) AS BIGINT) AS n_{t}" for t in TAGS) + " FROM g")
+def tree_shape(spark, sf_dir):
+    """Per page: whether the walk visits parents before their children, each a level below its own, and how many elements of a name there are."""
+
+    def each(doc, html, tree):
+        depth, ordered, nested, found = {id(tree.root): 0}, True, True, dict.fromkeys(TAGS, 0)
+        for n in tree.walk():
+            ordered &= id(n.parent) in depth
+            depth[id(n)] = depth.get(id(n.parent), 0) + 1
+            nested &= n in n.parent.children
+            if n.tag in found:
+                found[n.tag] += 1
+        return [(doc, ordered, nested, *found.values())]
+
+    return _per_page(spark, sf_dir, "doc_id string, ordered boolean, nested boolean, " + ", ".join(f"n_{t} long" for t in TAGS), each)
+
+
+@query("SELECT CAST(page_id AS VARCHAR) AS doc_id, false AS spelt, true AS spelt_after FROM pages")
 def raw_pairing(spark, sf_dir):
     """Whether a page's tags all pair with nodes; bodies without head and html tags, made whole, do."""
 
@@ -85,9 +105,17 @@ def html_roundtrip(spark, sf_dir):
     return rows.select("doc_id", "stable", F.md5(bare("html").cast("binary")).alias("text_md5"))
 
 
+def fingerprint_of(pages):
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield part.assign(fingerprint=[Tree(h).fingerprint(frozenset(ATTRS)) for h in part["html"]])[["doc_id", "fingerprint"]]
+
+    return pages.mapInPandas(run, "doc_id string, fingerprint string")
+
+
 @query()
 def fingerprint(spark, sf_dir):
-    return _per_page(spark, sf_dir, "doc_id string, fingerprint string", lambda doc, html, tree: [(doc, tree.fingerprint(frozenset(ATTRS)))])
+    return fingerprint_of(_pages(spark, sf_dir))
 
 
 @query("SELECT CAST(page_id AS VARCHAR) AS doc_id, true AS same, false AS same_with_more FROM pages")
@@ -190,6 +218,14 @@ def html_translate_text(spark, sf_dir):
     return done.select("doc_id", F.col("error").isNull().alias("translated"), F.md5(text.cast("binary")).alias("text_md5"), marked.cast("long").alias("alt_marked"))
 
 
+@query("SELECT CAST(page_id AS VARCHAR) AS doc_id, true AS same FROM pages")
+def fingerprint_kept(spark, sf_dir):
+    """Whether a translated page, read again, has its source's structure."""
+    done = _translated(spark, sf_dir).select("doc_id", "html", "fingerprint")
+    told = fingerprint_of(done.select("doc_id", "html")).withColumnRenamed("fingerprint", "after")
+    return done.join(told, "doc_id").select("doc_id", (F.col("after") == F.col("fingerprint")).alias("same"))
+
+
 @query(f"WITH {_EXCLUDED_SQL} SELECT doc_id, CAST(count(*) AS BIGINT) AS nodes, true AS same FROM e WHERE text <> '' GROUP BY doc_id")
 def excluded_unchanged(spark, sf_dir):
     """Per page: texts that are never translated, before and after, joined by node: equal in every row."""
@@ -236,3 +272,9 @@ def recovery(spark, sf_dir):
     done = structured.translated(_segments(spark, sf_dir), _faulty, Structured(translatable_attributes=ATTRS))
     counts = done.groupBy("doc_id").agg(F.count("*").alias("segments"), F.count("output").alias("right"), F.sum("retries").alias("retries"), F.sum("fallbacks").alias("fallbacks"))
     return _pages(spark, sf_dir).select("doc_id").join(counts, "doc_id", "left").na.fill(0)
+
+
+@query("SELECT CAST(page_id AS VARCHAR) AS doc_id, true AS complete FROM pages")
+def recovery_complete(spark, sf_dir):
+    """Whether, with the model that spoils outputs, every segment of a page has a right translation in the end."""
+    return recovery(spark, sf_dir).select("doc_id", (F.col("segments") == F.col("right")).alias("complete"))

@@ -37,10 +37,16 @@ def font_fit(spark, sf_dir):
     return lines(spark, sf_dir).select("doc_id", "seq", L.font_size((40 + F.col("seq") % 900).cast("double"), F.col("line")).alias("font_size"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {LINES_SQL}, s AS (SELECT doc_id, seq, list_filter(string_split_regex(line, '\\s+'), lambda x: x <> '') AS ws FROM l),
+ w AS (SELECT doc_id, seq, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS i FROM s),
+ c AS (SELECT doc_id, seq, x, i, CAST(0 AS BIGINT) AS n, length(x) AS used FROM w WHERE i = 1
+  UNION ALL SELECT w.doc_id, w.seq, w.x, w.i, CASE WHEN c.used + length(w.x) + 1 <= 32 THEN c.n ELSE c.n + 1 END, CASE WHEN c.used + length(w.x) + 1 <= 32 THEN c.used + length(w.x) + 1 ELSE length(w.x) END
+   FROM c JOIN w ON w.doc_id = c.doc_id AND w.seq = c.seq AND w.i = c.i + 1)
+SELECT doc_id, seq, n, string_agg(x, ' ' ORDER BY i) AS text FROM c GROUP BY doc_id, seq, n""")
 def wrap_text(spark, sf_dir):
     """Each line wrapped to 32 characters."""
-    return lines(spark, sf_dir).select("doc_id", "seq", F.posexplode(L.wrapped(F.col("line"), F.lit(32))).alias("n", "text"))
+    rows = lines(spark, sf_dir).select("doc_id", "seq", F.posexplode(L.wrapped(F.col("line"), F.lit(32))).alias("n", "text"))
+    return rows.withColumn("n", F.col("n").cast("long"))
 
 
 @query(f"WITH {LINES_SQL}, c AS (SELECT doc_id, printf('text_%03d', seq - 1) AS region_id, ((doc_id * 31 + seq * 17) % 100) / 100 AS confidence FROM l) SELECT * FROM c WHERE confidence >= 0.65")
@@ -180,7 +186,10 @@ def region_translate(spark, sf_dir):
     return rows.select("doc_id", "seq", base("zh-CN").alias("source_language"), base("en-US").alias("target_language"), marked(F.col("line")).alias("translated"))
 
 
-@query()
+@query(f"""WITH {LINES_SQL}, s AS (SELECT doc_id, seq, line, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS x FROM l),
+ k AS (SELECT *, length(regexp_replace(x, '[^A-Za-z0-9\\s]', '', 'g')) / length(x) > 0.8 AS english FROM s),
+ j AS (SELECT doc_id, list({{'id': printf('text_%03d', seq - 1), 'source_text': line, 'action': CASE WHEN english THEN 'preserve' ELSE 'translate' END, 'action_reason': CASE WHEN english THEN 'already_target_language' ELSE 'default_action' END}} ORDER BY seq) AS regions FROM k GROUP BY doc_id)
+SELECT doc_id, CAST(to_json({{'source_path': 'in/' || doc_id || '.jpg', 'status': 'completed', 'regions': regions}}) AS VARCHAR) AS record FROM j""")
 def job_metadata_json(spark, sf_dir):
     """A job's record as JSON, its regions in order."""
     from ..functions.text import region_action
