@@ -10,8 +10,10 @@ placeholder, so the model's output splits at its placeholders into one piece a r
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
+from itertools import accumulate, chain, groupby
 
 from ..functions import patterns as P
 from .html_tree import Node, Tree, end_tag, start_tag
@@ -173,6 +175,10 @@ class TooLong(ValueError):
     """A unit that can't be divided doesn't fit the model's room."""
 
 
+#: Tokens by which a prefix may take up more or less than its whole runs do, as its last one is cut.
+UNSURE = 64
+
+
 class Packer:
     """Fills segments with a block's runs."""
 
@@ -210,8 +216,40 @@ class Packer:
     def fits(self, more: list[Run], alone: bool = False) -> bool:
         return self.cost(("" if alone else self.ready) + self.shown(more)) <= self.room
 
-    def probe(self, node: Node, text: str, alone: bool = False) -> bool:
-        return self.fits(text_runs(node.id, text, Tokens(), self.preserve), alone)
+    def reach(self, node: Node, text: str, alone: bool = False) -> int:
+        """How many characters of text fit: all, or the longest beginning (one character, of several, if none does).
+
+        The runs of a stretch that is surely long enough are found once; what they take up together answers for all
+        prefixes but those that end so near to the room's end that cutting their last run may matter.
+        """
+        before, width = "" if alone else self.ready, 4 * self.room + 64
+        while True:
+            runs = text_runs(node.id, text[:width], Tokens(), self.preserve)
+            shown = [spaced(r.shown) for r in runs]
+            if self.cost(before + "".join(shown)) > self.room + UNSURE or width >= len(text):
+                break
+            width *= 2
+        whole = "".join(shown)
+        if width >= len(text) and self.cost(before + whole) <= self.room:
+            return len(text)
+        ends, tops = [[0, *accumulate(map(len, x))] for x in ([r.raw for r in runs], shown)]
+
+        def fits(n: int) -> bool:
+            k = bisect_right(ends, n) - 1
+            if k >= len(runs) and n > ends[-1]:
+                return False
+            least = tops[k] + (n - ends[k] if k < len(runs) and runs[k].translate else 0)
+            if self.cost(before + whole[:least]) > self.room + UNSURE:
+                return False
+            if self.cost(before + whole[: tops[min(k + 1, len(runs))]]) + UNSURE <= self.room:
+                return True
+            return self.fits(text_runs(node.id, text[:n], Tokens(), self.preserve), alone)
+
+        low, high = 1, len(text)
+        while low < high:
+            middle = low + (high - low + 1) // 2
+            low, high = (middle, high) if fits(middle) else (low, middle - 1)
+        return min(low, len(text) - 1)
 
     def take(self, runs: list[Run]) -> None:
         for r in runs:
@@ -238,47 +276,45 @@ class Packer:
             self.close(self.done[-1])
             self.held, self.ready = [], ""
 
-    def longest(self, fits: Callable[[str], bool], text: str) -> int:
-        low, high = 1, len(text)
-        while low < high:
-            mid = (low + high + 1) // 2
-            low, high = (mid, high) if fits(text[:mid]) else (low, mid - 1)
-        return low
-
-    @staticmethod
-    def whole_markers(text: str, cut: int) -> int:
-        """The cut moved out of a character reference: before it, or after it if it begins the text."""
-        for m in MARKER.finditer(text):
-            if m.start() < cut < m.end():
-                return m.start() or m.end()
-        return cut
-
     def text(self, node: Node) -> None:
-        text = node.text
-        while text:
+        """Divide a text node: at the last end of a sentence that fits, else of a clause, else wherever it must be."""
+        text, at = node.text, 0
+        while at < len(text):
             if self.held and self.held[-1].translate:
                 self.flush()
-            if self.probe(node, text):
-                self.take(text_runs(node.id, text, self.tokens, self.preserve))
-                return
-            most = self.whole_markers(text, self.longest(lambda t: self.probe(node, t), text))
-            cut = next((c for ends in (P.SENTENCE_ENDS, P.CLAUSE_ENDS) if (c := max(text.rfind(e, 0, most) for e in ends) + 1) > 0), 0)
-            cut = self.whole_markers(text, cut)
-            self.flush()
-            if not cut:
-                if self.probe(node, text, alone=True):  # tags that wait may make it a little longer
-                    self.take(text_runs(node.id, text, self.tokens, self.preserve))
-                    return
-                cut = self.longest(lambda t: self.probe(node, t, alone=True), text)
-                while cut > 1 and "_" in text[cut - 1 : cut + 1]:
-                    cut -= 1
-                cut = self.whole_markers(text, cut)
-                if not self.probe(node, text[:cut], alone=True):
-                    raise TooLong(f"no prefix of node {node.id} fits {self.room} tokens")
-            if not 0 < cut < len(text):
-                raise TooLong(f"node {node.id} can't be divided")
-            self.take(text_runs(node.id, text[:cut], self.tokens, self.preserve))
-            text = text[cut:]
+            rest = text[at:]
+            most = self.reach(node, rest)
+            if most < len(rest):
+                cut = border(rest, beside(rest, most))
+                self.flush()
+                if not cut:
+                    most = self.reach(node, rest, alone=True)  # tags that wait may make it a little longer
+                    cut = most if most == len(rest) else forced(rest, most)
+                    if not self.fits(text_runs(node.id, rest[:cut], Tokens(), self.preserve), alone=True):
+                        raise TooLong(f"no prefix of node {node.id} fits {self.room} tokens")
+                most = cut
+            self.take(text_runs(node.id, rest[:most], self.tokens, self.preserve))
+            at += most
+
+
+#: Up to the last end of a sentence; of a clause.
+BORDERS = [re.compile(f"(?s).*[{re.escape(ends)}]") for ends in (P.SENTENCE_ENDS, P.CLAUSE_ENDS)]
+
+
+def border(text: str, most: int) -> int:
+    """The best place to divide text among its first ``most`` characters; 0 if there is none."""
+    return next((m.end() for b in BORDERS if (m := b.match(text, 0, most))), 0)
+
+
+def beside(text: str, cut: int) -> int:
+    """The cut, if it falls into a character reference moved before it, or after one that begins the text."""
+    inside = next(((m.start(), m.end()) for m in MARKER.finditer(text) if m.start() < cut < m.end()), None)
+    return cut if inside is None else inside[0] or inside[1]
+
+
+def forced(text: str, most: int) -> int:
+    """The last place among the first ``most`` characters that isn't beside an underscore or in a character reference."""
+    return beside(text, next((c for c in range(most, 1, -1) if "_" not in text[c - 1 : c + 1]), 1))
 
 
 def segments(tree: Tree, doc: str, room: int = 450, cost: Callable[[str], int] = measure, preserve: tuple[str, ...] = (), translatable: tuple[str, ...] = ()) -> list[Segment]:
@@ -292,15 +328,15 @@ def segments(tree: Tree, doc: str, room: int = 450, cost: Callable[[str], int] =
 
 
 def uncovered(done: list[Segment]) -> list[str]:
-    """Blocks whose runs, put together, aren't the block's text in one piece after another."""
-    by: dict[str, list[Segment]] = {}
-    for s in done:
-        by.setdefault(s.block_key, []).append(s)
+    """Blocks of which some character lies in no run, or in another place than its run says."""
     bad = []
-    for key, some in by.items():
-        runs = [r for s in some for r in s.runs]
-        ends = [0, *(r.offset_end for r in runs)]
-        if "".join(r.raw for r in runs) != some[0].block_text or [r.offset_start for r in runs] != ends[:-1]:
+    for key, some in groupby(done, lambda s: s.block_key):
+        some = list(some)
+        text, place, fine = some[0].block_text, 0, True
+        for r in chain.from_iterable(s.runs for s in some):
+            fine &= r.offset_start == place and text[place : r.offset_end] == r.raw
+            place = r.offset_end
+        if not fine or place != len(text):
             bad.append(key)
     return bad
 
