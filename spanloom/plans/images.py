@@ -44,8 +44,8 @@ def detected(images: DataFrame, recognizer: Callable[[], imaging.Recognizer], se
 
 
 def prepared(found: DataFrame, settings: Images, model: Callable | None = None) -> DataFrame:
-    """path, regions: each region with its action, text, font size and lines. Images without text have none."""
-    each = found.filter(F.col("error").isNull()).select("path", F.posexplode("regions").alias("n", "r"))
+    """path, fault, regions: each region with its action, text, font size and lines. Images without text, or that failed (fault), have none."""
+    each = found.select("path", "error", F.posexplode_outer("regions").alias("n", "r"))
     rule = T.region_action(F.col("r.source_text"), list(settings.preserve_terms), list(settings.preserve_patterns), settings.default_action, settings.preserve_already_target_language)
     each = each.withColumn("rule", rule).withColumn("asked", F.when(F.col("rule.action") == "translate", F.col("r.source_text")))
     each = model_map(each, "asked", "text", model).withColumn("rect", L.rect(F.col("r.polygon")))
@@ -53,7 +53,7 @@ def prepared(found: DataFrame, settings: Images, model: Callable | None = None)
     wrap = F.lit(settings.allow_multiline) & (F.length("text") > 10)
     lines = F.when(wrap, L.wrapped(F.col("text"), F.floor(F.col("rect.width") / (F.col("font_size") * 0.5)))).otherwise(F.array("text"))
     region = F.struct("n", "r.id", "r.source_text", "r.confidence", "r.polygon", "rule.action", F.col("rule.reason").alias("action_reason"), "text", "rect.cx", "rect.cy", "rect.width", "rect.height", "font_size", lines.alias("lines"))
-    return each.groupBy("path").agg(F.array_sort(F.collect_list(region)).alias("regions"))
+    return each.groupBy("path").agg(F.max("error").alias("fault"), F.array_sort(F.collect_list(F.when(F.col("n").isNotNull(), region))).alias("regions"))
 
 
 def processed(images: DataFrame, recognizer: Callable[[], imaging.Recognizer], settings: Images | None = None, model: Callable | None = None, inpaint: imaging.Inpainter = imaging.inward, render: imaging.Renderer = imaging.bars) -> DataFrame:
@@ -65,7 +65,10 @@ def processed(images: DataFrame, recognizer: Callable[[], imaging.Recognizer], s
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             out = []
-            for path, target, content, regions in zip(part["path"], part["target"], part["content"], part["regions"], strict=True):
+            for path, target, content, regions, fault in zip(part["path"], part["target"], part["content"], part["regions"], part["fault"], strict=True):
+                if fault is not None:
+                    out.append((path, target, "failed", fault, None, None, None))
+                    continue
                 try:
                     if regions is None or not len(regions):  # without text an image goes through as it is
                         png.dimensions(bytes(content))

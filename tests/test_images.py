@@ -119,3 +119,19 @@ def test_command_line(spark, tmp_path, capsys):
     assert spark.read.parquet(f"{tmp_path}/out").first()["html"] == "<p>EN:中</p>"
     (tmp_path / "bad.json").write_text("{")
     assert main(["-c", f"{tmp_path}/bad.json", "check-cache", str(tmp_path)]) == 2
+
+
+def test_what_a_recognizer_raises_fails_its_image_alone(spark):
+    small, large = (png.encode(np.full((8, w, 3), 200, np.uint8)) for w in (8, 16))
+    table = spark.createDataFrame([("a.png", "o/a.png", bytearray(small)), ("b.png", "o/b.png", bytearray(large))], "path string, target string, content binary")
+
+    def recognizer():
+        def detect(pixels):
+            if pixels.shape[1] == 16:
+                raise RuntimeError("no")
+            return []
+
+        return detect
+
+    got = {r["path"]: (r["status"], r["error"]) for r in plan.processed(table, recognizer).collect()}
+    assert got == {"a.png": ("completed", None), "b.png": ("failed", "recognizer: no")}
