@@ -139,7 +139,8 @@ def bit_sets(width: int, max_bits: int, similarity: float, recall: float, classe
         blocks = max_bits + equal
         cut = [bits * i // blocks for i in range(blocks + 1)]
         return [[x for b in some for x in range(cut[b], cut[b + 1])] for some in combinations(range(blocks), equal)]
-    r = min(40, max(10, math.ceil(math.log2(max(2, classes)) - 1)))
+    # Some 16 unrelated classes a bucket: each bit less takes a sixth of the tables, and so of the rows to shuffle.
+    r = min(40, max(10, math.ceil(math.log2(max(2, classes)) - 4)))
     tables = 1
     while found_share(bits, r, tables, max_bits, similarity) < recall:
         tables += 1 + tables // 100
