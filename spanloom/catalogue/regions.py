@@ -29,7 +29,7 @@ def mask_bbox(spark, sf_dir):
 @query(f"WITH {_BOX_SQL} SELECT doc_id, CAST(x + w / 2 AS DOUBLE) AS cx, CAST(y + h / 2 AS DOUBLE) AS cy, CAST(w AS DOUBLE) AS width, CAST(h AS DOUBLE) AS height, 0.0::DOUBLE AS angle, CAST(CASE WHEN length(text) = 0 THEN 48 ELSE greatest(12, least(48, floor(w / (length(text) * 0.6)))) END AS BIGINT) AS font_size FROM b")
 def layout_rect(spark, sf_dir):
     rows = _boxes(spark, sf_dir).withColumn("r", L.rect(F.col("polygon")))
-    return rows.select("doc_id", "r.*", L.font_size(F.col("r.width"), F.col("text")).alias("font_size"))
+    return rows.select("doc_id", "r.*", L.font_size(F.col("r.width"), F.col("text"), decimal=True).alias("font_size"))
 
 
 @query(f"WITH {LINES_SQL} SELECT doc_id, seq, CAST(greatest(12, least(48, floor((40 + seq % 900)::DOUBLE / (length(line) * 0.6::DOUBLE)))) AS BIGINT) AS font_size FROM l")

@@ -15,9 +15,10 @@ def rect(polygon: Column) -> Column:
     return F.struct(mean(x).alias("cx"), mean(y).alias("cy"), extent(x).alias("width"), extent(y).alias("height"), F.lit(0.0).alias("angle"))
 
 
-def font_size(width: Column, text: Column, least: int = 12, most: int = 48) -> Column:
+def font_size(width: Column, text: Column, least: int = 12, most: int = 48, decimal: bool = False) -> Column:
+    """The largest size at which text, 0.6 of it a character, is as wide; ``decimal``: 0.6 exactly, not the double next to it."""
     n = F.length(text)
-    fits = F.greatest(F.lit(least), F.least(F.lit(most), F.floor(width / (n * 0.6))))
+    fits = F.greatest(F.lit(least), F.least(F.lit(most), F.floor(width / (n * 6 / 10 if decimal else n * 0.6))))
     return F.when((width <= 0) | (n <= 0), most).otherwise(fits).cast("long")
 
 
