@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,10 +28,18 @@ from ..operators.html_tree import Tree
 from ..operators.model import Guard, call_map, model_map
 from ..sources.config import Structured, Translation
 
-RUN = "struct<node_id:string,kind:string,raw:string,placeholder:string,offset_start:int,offset_end:int,sequence_index:int,slot_index:int,translate:boolean>"
+RUN = dict(node_id="string", kind="string", raw="string", placeholder="string", offset_start="int", offset_end="int", sequence_index="int", slot_index="int", translate="boolean")
 #: A page's own languages; null: the settings'.
 PAIR = ["source_language", "target_language"]
-SEGMENT = f"page_key string, doc_id string, source_language string, target_language string, segment_id string, sequence_index int, block_key string, block_text string, source_text string, token_count long, placeholder_order array<string>, contents array<string>, runs array<{RUN}>, error string"
+SEGMENT = dict(page_key="string", doc_id="string", source_language="string", target_language="string", segment_id="string", sequence_index="int", block_key="string", block_text="string", source_text="string", token_count="long", placeholder_order="array<string>", contents="array<string>", runs="array", error="string")
+#: What a segment keeps of its page.
+KEPT = ("page_key", "doc_id", *PAIR)
+#: What translating and rebuilding need of a segment, and of its runs.
+NEEDED = ("page_key", *PAIR, "segment_id", "sequence_index", "source_text", "token_count", "placeholder_order", "runs", "error")
+NEEDED_RUN = ("node_id", "raw", "placeholder", "slot_index", "translate")
+ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+#: Characters and runs that a worker gathers before it hands them on: a page may have thousands of runs.
+HANDED = 2_000_000, 20_000
 
 
 def guarded(pages: DataFrame, settings: Structured) -> DataFrame:
@@ -50,26 +58,55 @@ def read(html: str, doc: str, settings: Structured) -> tuple[Tree, list[S.Segmen
     return tree, text, S.attribute_segments(tree, doc, settings.translatable_attributes, settings.max_segment_tokens)
 
 
-def segmented(pages: DataFrame, settings: Structured | None = None) -> DataFrame:
-    """The segments of each document, attributes' last; a document that can't be segmented is one row with error."""
+def listed(rows: list[dict], of: tuple[str, ...], of_runs: tuple[str, ...]) -> pa.RecordBatch:
+    """Rows of SEGMENT in its columns ``of``, their runs (S.Run) with the fields ``of_runs``; a row without runs has null."""
+    columns = []
+    for c in of:
+        values = [r.get(c) for r in rows]
+        if c != "runs":
+            columns.append(pa.array(values, ARROW[SEGMENT[c]]))
+            continue
+        places, at = [], 0
+        for v in values:
+            places.append(None if v is None else at)
+            at += len(v or ())
+        flat = [r for v in values for r in v or ()]
+        fields = [pa.array([getattr(r, f) for r in flat], ARROW[RUN[f]]) for f in of_runs]
+        columns.append(pa.ListArray.from_arrays(pa.array([*places, at], pa.int32()), pa.StructArray.from_arrays(fields, list(of_runs))))
+    return pa.RecordBatch.from_arrays(columns, list(of))
+
+
+def handed(batches: Iterator[pa.RecordBatch], settings: Structured, of: tuple[str, ...], of_runs: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """Segments of pages (html and what KEPT names) in bounded batches, however many a batch of pages or a page has."""
+    for batch in batches:
+        rows, chars, count = [], 0, 0
+        for i in range(batch.num_rows):
+            html, *told = (c[i].as_py() for c in batch.columns)
+            page = dict(zip(KEPT, told, strict=True))
+            try:
+                _, text, attrs = read(html, page["doc_id"] or "", settings)
+            except ValueError:
+                rows.append(page | {"sequence_index": 0, "error": "structured"})
+                continue
+            for n, s in enumerate([*text, *attrs]):
+                rows.append(page | s.row() | {"sequence_index": n})
+                chars += len(s.source_text) + len(s.block_text) * ("block_text" in of)
+                count += len(s.runs)
+                if chars > HANDED[0] or count > HANDED[1]:
+                    yield listed(rows, of, of_runs)
+                    rows, chars, count = [], 0, 0
+        yield listed(rows, of, of_runs)
+
+
+def segmented(pages: DataFrame, settings: Structured | None = None, of: tuple[str, ...] = tuple(SEGMENT), of_runs: tuple[str, ...] = tuple(RUN)) -> DataFrame:
+    """The segments of each document, attributes' last; a document that can't be segmented is one row with error.
+
+    ``of`` and ``of_runs`` name the columns and the runs' fields that are wanted: a block's text stands in each of its segments.
+    """
     settings = settings or Structured()
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in SEGMENT.split(", ")]
-        for part in parts:
-            rows = []
-            for html, *told in zip(part["html"], *(part[c] for c in kept), strict=True):
-                page = dict(zip(kept, told, strict=True))
-                try:
-                    _, text, attrs = read(html, page["doc_id"] or "", settings)
-                    rows += [page | {"error": None} | s.row() | {"sequence_index": i} for i, s in enumerate([*text, *attrs])]
-                except ValueError:
-                    rows.append(page | {"sequence_index": 0, "error": "structured"})
-            yield pd.DataFrame(rows, columns=names)
-
-    kept = ["page_key", "doc_id", *PAIR]
     good = guarded(pages, settings).filter(F.col("error").isNull()).dropDuplicates(["page_key"])
-    return good.select("html", *kept).mapInPandas(run, SEGMENT)
+    types = SEGMENT | {"runs": f"array<struct<{','.join(f'{f}:{RUN[f]}' for f in of_runs)}>>"}
+    return good.select("html", *KEPT).mapInArrow(lambda batches: handed(batches, settings, of, of_runs), ", ".join(f"{c} {types[c]}" for c in of))
 
 
 def renamed(c: Column, tokens: Column, prefix: str) -> Column:
@@ -125,7 +162,8 @@ def translated(segments: DataFrame, model: Callable | None = None, settings: Str
         again = model_map(first.filter("stuck").drop("output", "fault"), "source_text", "output", model, 1, F.least("bucket", F.lit(generation.retry_max_new_tokens)), pair, style, simpler, "fault")
         again = again.withColumn("fault", F.when(stuck, "quality").otherwise(F.col("fault"))).withColumn("output", F.when(~stuck, F.col("output")))
         first = first.filter("NOT stuck").unionByName(again).drop("stuck")
-    fine = F.coalesce(T.placeholder_check(F.col("output"), F.col("placeholder_order"))["ok"], F.lit(False))
+    # The source's placeholders, each once, in their order, and no others: what placeholder_check calls ok, in one pass.
+    fine = F.coalesce(T.matches(F.col("output"), P.ANY_PLACEHOLDER) == F.col("placeholder_order"), F.lit(False))
     first = kept(first.withColumn("ok", fine))
     done = first.filter("ok").withColumns({"retries": F.lit(0), "fallbacks": F.lit(0)}).drop("ok")
     left = first.filter("NOT ok").drop("ok", "output")
@@ -162,7 +200,7 @@ def translate_html(pages: DataFrame, model: Callable | None = None, settings: St
     """RESULT for each page (doc_id, html; source_language, target_language if there): the translated document, or the class of what stopped it."""
     settings = settings or Structured()
     told = guarded(pages, settings)
-    done = translated(segmented(pages, settings), model, settings, held, translation)
+    done = translated(segmented(pages, settings, NEEDED, NEEDED_RUN), model, settings, held, translation)
     runs = F.size(F.filter("runs", lambda r: ~r["translate"]))
     less = F.transform("runs", lambda r: F.struct(r["node_id"].alias("node_id"), r["raw"].alias("raw"), r["placeholder"].alias("placeholder"), r["slot_index"].alias("slot_index")))
     fault = F.when(F.col("output").isNull(), F.when(F.col("fault").isin(*SHOWN), F.col("fault")).otherwise("structured"))
@@ -173,31 +211,40 @@ def translate_html(pages: DataFrame, model: Callable | None = None, settings: St
     counts = ["segment_count", "total_source_tokens", "sum_requested_target_tokens", "batch_generation_budget", "batch_count", "retry_count", "fallback_count", "protected_run_count"]
     rows = told.filter(F.col("error").isNull()).join(sums, "page_key", "left").select("doc_id", "html", "sent", "fault", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts])
 
-    def rebuild(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            html, errors, prints = [], [], []
-            for doc, source, sent, fault in zip(part["doc_id"], part["html"], part["sent"], part["fault"], strict=True):
-                text, error, mark = None, None, None
-                try:
-                    if sent is None:  # nothing was sent: there is nothing to send, or the page can't be segmented
-                        tree, *some = read(source, doc or "", settings)
-                        if any(some):
-                            raise S.Rejected("segments without an output")
-                        sent = []
-                    else:
-                        tree = Tree(source, settings.excluded_tags, settings.excluded_classes)
-                    mark = tree.fingerprint(frozenset(settings.translatable_attributes))
-                    if fault is None:
-                        each = [segment_of(x) for x in sent]
-                        attrs = [x for x in each if x.segment_id.startswith("attr:")]
-                        text = S.rebuilt(tree, each[: len(each) - len(attrs)], {x["segment_id"]: x["output"] for x in sent}, attrs, settings.translatable_attributes)
-                    error = fault
-                except ValueError:
-                    error = "structured"
-                html.append(text)
-                errors.append(error)
-                prints.append(mark)
-            yield part.drop(columns=["sent", "fault"]).assign(html=html, error=errors, fingerprint=prints)[[x.split()[0] for x in RESULT.split(", ")]]
+    names = [x.split()[0] for x in RESULT.split(", ")]
+
+    def whole(doc: str | None, source: str, sent: list[dict] | None, fault: str | None) -> tuple[str | None, str | None, str | None]:
+        """html, error, fingerprint."""
+        text, mark = None, None
+        try:
+            if sent is None:  # nothing was sent: there is nothing to send, or the page can't be segmented
+                tree, *some = read(source, doc or "", settings)
+                if any(some):
+                    raise S.Rejected("segments without an output")
+                sent = []
+            else:
+                tree = Tree(source, settings.excluded_tags, settings.excluded_classes)
+            mark = tree.fingerprint(frozenset(settings.translatable_attributes))
+            if fault is None:
+                each = [segment_of(x) for x in sent]
+                attrs = [x for x in each if x.segment_id.startswith("attr:")]
+                text = S.rebuilt(tree, each[: len(each) - len(attrs)], {x["segment_id"]: x["output"] for x in sent}, attrs, settings.translatable_attributes)
+            return text, fault, mark
+        except ValueError:
+            return text, "structured", mark
+
+    def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, done, chars = 0, [], 0
+            for i in range(batch.num_rows):
+                page = batch.slice(i, 1).select(["doc_id", "html", "sent", "fault"]).to_pylist()[0]
+                done.append(whole(*page.values()))
+                chars += len(done[-1][0] or "")
+                if chars > HANDED[0] or i == batch.num_rows - 1:
+                    html, errors, prints = (pa.array(x, pa.string()) for x in zip(*done, strict=True))
+                    now = {"html": html, "error": errors, "fingerprint": prints}
+                    yield pa.RecordBatch.from_arrays([now[c] if c in now else batch.column(c).slice(at, len(done)) for c in names], names)
+                    at, done, chars = i + 1, [], 0
 
     stopped = told.filter(F.col("error").isNotNull()).select("doc_id", F.lit(None).cast("string").alias("html"), "error", *[F.lit(0).cast("long").alias(c) for c in counts], F.lit(None).cast("string").alias("fingerprint"))
-    return rows.mapInPandas(rebuild, RESULT).unionByName(stopped)
+    return rows.mapInArrow(rebuild, RESULT).unionByName(stopped)
