@@ -14,6 +14,10 @@ from ..sources.config import Structured
 from .base import HAN_FOR_VOWELS, query, spread, table
 
 ATTRS = ("title", "alt")
+#: The queries answer for every page, however long: the bound on a document's characters is the service's.
+SETTINGS = Structured(translatable_attributes=ATTRS, max_characters=2**31 - 1)
+#: Rows that a worker gathers before it hands them on.
+HANDED = 20_000
 MORE = '<p>型号 ABC-12345 支持 USB-C 接口</p><img alt="加厚防水" src="a.png"><div class="notranslate">不译 <b>这里</b></div><p translate="no">保留</p><pre>代码 x=1</pre>'
 PARTS = r"(?s)<script.*?</script>|<style.*?</style>|<[^>]*>|&[A-Za-z0-9#]+;|[^<&]+|[<&]"
 #: The same pages in DuckDB, and what stands outside of their tags, scripts and styles, without blanks.
@@ -44,7 +48,12 @@ def _per_page(spark, sf_dir, shape, each):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in shape.split(", ")]
         for part in parts:
-            rows = [r for doc, html in zip(part["doc_id"], part["html"], strict=True) for r in each(doc, html, Tree(html))]
+            rows = []
+            for doc, html in zip(part["doc_id"], part["html"], strict=True):
+                rows += each(doc, html, Tree(html))
+                if len(rows) > HANDED:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
             yield pd.DataFrame(rows, columns=names)
 
     return _pages(spark, sf_dir).mapInPandas(run, shape)
@@ -154,19 +163,19 @@ def block_text(spark, sf_dir):
     return _per_page(spark, sf_dir, "doc_id string, block_key string, block_text string", each)
 
 
-def _segments(spark, sf_dir):
-    return structured.segmented(_pages(spark, sf_dir), Structured(translatable_attributes=ATTRS))
+def _segments(spark, sf_dir, of, of_runs=()):
+    return structured.segmented(_pages(spark, sf_dir), SETTINGS, of, of_runs)
 
 
 @query()
 def segments(spark, sf_dir):
-    rows = _segments(spark, sf_dir)
+    rows = _segments(spark, sf_dir, ("doc_id", "segment_id", "sequence_index", "block_key", "source_text", "token_count", "placeholder_order", "error"))
     return rows.select("doc_id", "segment_id", "sequence_index", "block_key", "source_text", "token_count", F.array_join("placeholder_order", ",").alias("placeholder_order"), "error")
 
 
 @query()
 def text_runs(spark, sf_dir):
-    return _segments(spark, sf_dir).select("doc_id", "segment_id", F.explode("runs").alias("r")).select("doc_id", "segment_id", "r.*")
+    return _segments(spark, sf_dir, ("doc_id", "segment_id", "runs"), tuple(structured.RUN)).select("doc_id", "segment_id", F.explode("runs").alias("r")).select("doc_id", "segment_id", "r.*")
 
 
 KINDS = ["chinese", "tag", "attribute", "entity_protected", "identifier_protected", "model_number_protected", "english_protected"]
@@ -175,30 +184,32 @@ KINDS = ["chinese", "tag", "attribute", "entity_protected", "identifier_protecte
 @query()
 def run_stats(spark, sf_dir):
     """Runs of each kind, for every page."""
-    counts = text_runs(spark, sf_dir).groupBy("doc_id").pivot("kind", KINDS).count()
+    rows = _segments(spark, sf_dir, ("doc_id", "runs"), ("kind",)).filter("runs IS NOT NULL")
+    of = lambda kind: F.sum(F.size(F.filter("runs.kind", lambda k: k == kind)).cast("long")).alias(kind)
+    counts = rows.groupBy("doc_id").agg(*map(of, KINDS))
     return _pages(spark, sf_dir).select("doc_id").join(counts, "doc_id", "left").na.fill(0, KINDS)
 
 
 @query("SELECT CAST(page_id AS VARCHAR) AS doc_id, true AS covered, true AS gapless FROM pages WHERE page_id % 2 = 0")
 def coverage_check(spark, sf_dir):
     """Per page with anything to translate: whether each block's runs, in order, are its text without gap or overlap. Computed from the rows, in the JVM."""
-    rows = _segments(spark, sf_dir).filter("error IS NULL")
-    runs = rows.select("doc_id", "block_key", "block_text", "sequence_index", F.explode("runs").alias("r"))
-    each = F.array_sort(F.collect_list(F.struct("sequence_index", F.col("r.sequence_index").alias("n"), F.col("r.raw").alias("raw"), F.col("r.offset_start").alias("a"), F.col("r.offset_end").alias("b"))))
-    sums = runs.groupBy("doc_id", "block_key", "block_text").agg(each.alias("runs"))
+    of = ("page_key", "doc_id", "block_key", "block_text", "sequence_index", "runs", "error")
+    rows = _segments(spark, sf_dir, of, ("raw", "offset_start", "offset_end")).filter("error IS NULL")
+    each = F.array_sort(F.collect_list(F.struct("sequence_index", "runs")))
+    sums = rows.groupBy("page_key", "doc_id", "block_key").agg(F.first("block_text").alias("block_text"), F.flatten(F.transform(each, lambda s: s["runs"])).alias("runs"))
     joined = F.array_join(F.transform("runs", lambda r: r["raw"]), "") == F.col("block_text")
-    starts, ends = F.transform("runs", lambda r: r["a"]), F.transform("runs", lambda r: r["b"])
+    starts, ends = F.transform("runs", lambda r: r["offset_start"]), F.transform("runs", lambda r: r["offset_end"])
     gapless = starts == F.concat(F.array(F.lit(0)), F.slice(ends, F.lit(1), F.size(ends) - 1))
-    return sums.select("doc_id", joined.alias("covered"), gapless.alias("gapless")).groupBy("doc_id").agg(F.bool_and("covered").alias("covered"), F.bool_and("gapless").alias("gapless"))
+    return sums.groupBy("page_key", "doc_id").agg(F.bool_and(joined).alias("covered"), F.bool_and(gapless).alias("gapless")).drop("page_key")
 
 
 @query("SELECT CAST(page_id AS VARCHAR) AS doc_id, 'attr:' || page_id || ':0000' AS segment_id, '加厚防水' AS block_text, '加厚防水' AS source_text, CAST(2 AS BIGINT) AS token_count FROM pages WHERE page_id % 4 = 0")
 def attr_segments(spark, sf_dir):
-    return _segments(spark, sf_dir).filter("startswith(segment_id, 'attr:')").select("doc_id", "segment_id", "block_text", "source_text", "token_count")
+    return _segments(spark, sf_dir, ("doc_id", "segment_id", "block_text", "source_text", "token_count")).filter("startswith(segment_id, 'attr:')").select("doc_id", "segment_id", "block_text", "source_text", "token_count")
 
 
 def _translated(spark, sf_dir):
-    return structured.translate_html(_pages(spark, sf_dir), settings=Structured(translatable_attributes=ATTRS))
+    return structured.translate_html(_pages(spark, sf_dir), settings=SETTINGS)
 
 
 @query()
@@ -221,9 +232,13 @@ def html_translate_text(spark, sf_dir):
 @query("SELECT CAST(page_id AS VARCHAR) AS doc_id, true AS same FROM pages")
 def fingerprint_kept(spark, sf_dir):
     """Whether a translated page, read again, has its source's structure."""
-    done = _translated(spark, sf_dir).select("doc_id", "html", "fingerprint")
-    told = fingerprint_of(done.select("doc_id", "html")).withColumnRenamed("fingerprint", "after")
-    return done.join(told, "doc_id").select("doc_id", (F.col("after") == F.col("fingerprint")).alias("same"))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            same = [h is not None and Tree(h).fingerprint(frozenset(ATTRS)) == mark for h, mark in zip(part["html"], part["fingerprint"], strict=True)]
+            yield pd.DataFrame({"doc_id": part["doc_id"], "same": same})
+
+    return _translated(spark, sf_dir).select("doc_id", "html", "fingerprint").mapInPandas(run, "doc_id string, same boolean")
 
 
 @query(f"WITH {_EXCLUDED_SQL} SELECT doc_id, CAST(count(*) AS BIGINT) AS nodes, true AS same FROM e WHERE text <> '' GROUP BY doc_id")
@@ -269,7 +284,7 @@ def _faulty():
 @query()
 def recovery(spark, sf_dir):
     """How many segments of each page needed a second prefix or the run-by-run way with a model that spoils outputs."""
-    done = structured.translated(_segments(spark, sf_dir), _faulty, Structured(translatable_attributes=ATTRS))
+    done = structured.translated(_segments(spark, sf_dir, ("doc_id", *structured.NEEDED), structured.NEEDED_RUN), _faulty, SETTINGS)
     counts = done.groupBy("doc_id").agg(F.count("*").alias("segments"), F.count("output").alias("right"), F.sum("retries").alias("retries"), F.sum("fallbacks").alias("fallbacks"))
     return _pages(spark, sf_dir).select("doc_id").join(counts, "doc_id", "left").na.fill(0)
 

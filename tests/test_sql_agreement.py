@@ -1,9 +1,11 @@
 """Queries against their SQL on rows that the small test tables lack."""
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as e
+from spanloom.plans import structured
 
 
 @pytest.fixture
@@ -25,3 +27,45 @@ def test_font_size_divides_by_the_decimal(agrees):
     """81 / (9 * 0.6) is 15 with a product of doubles, 14 with the double next to 5.4."""
     rows = [(61 + 150 * k, "x" * n) for k in range(2) for n in (0, 1, 9, 11)]
     assert any(r.endswith(" 14)") for r in agrees("layout_rect", "documents", rows, "doc_id long, text string"))
+
+
+def test_long_names_are_cut_as_the_sql_cuts_them(agrees):
+    rows = [(0, f"<p>&amp{'x' * 40} &copy; &#1234567890 R&D</p>")]
+    assert len(agrees("entity_inventory", "pages", rows, "page_id long, html string")) == 4
+
+
+def test_ampersands_in_titles_come_back(agrees):
+    rows = [(k, f"<title>R & D &amp{'x' * 40} &am</title><p>a & b</p>") for k in (1, 2)]
+    agrees("html_roundtrip", "pages", rows, "page_id long, html string")
+
+
+LONG = [(2, "<script>x()</script>" + "<p>another line of words.</p>" * 4000), (4, "<style>p{}</style><p>short one</p>"), (5, "<p>odd</p>")]
+
+
+@pytest.mark.parametrize("name", ["coverage_check", "excluded_unchanged", "html_translate_text", "recovery_complete", "fingerprint_kept"])
+def test_long_pages_are_done_whole(agrees, name):
+    """The bound of 100,000 characters is the service's; these queries answer for every page."""
+    agrees(name, "pages", LONG, "page_id long, html string")
+
+
+def test_a_page_without_a_translation_has_not_kept_its_structure(spark, tmp_path):
+    spark.createDataFrame([(1, "<p>a</p>"), (3, "<p>__ITRANSLATE_</p>")], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    told = e.queries()["fingerprint_kept"](spark, str(tmp_path))
+    assert sorted(map(tuple, told.collect())) == [("1", True), ("3", False)]
+    assert told._jdf.queryExecution().optimizedPlan().toString().count("Relation [") <= 6  # one translation, not two
+
+
+def test_segments_are_handed_on_in_bounded_batches(monkeypatch):
+    monkeypatch.setattr(structured, "HANDED", (10**9, 50))
+    page = "<p>" + "字a" * 3000 + "</p>"
+    pages = pa.RecordBatch.from_pydict({"html": [page, page], "page_key": ["a", "b"], "doc_id": ["a", "b"], "source_language": pa.nulls(2, pa.string()), "target_language": pa.nulls(2, pa.string())})
+    some = list(structured.handed(iter([pages]), structured.Structured(), ("page_key", "sequence_index", "runs"), ("raw",)))
+    assert max(sum(len(r) for r in b.column(2).to_pylist()) for b in some) < 150
+    assert "".join(r["raw"] for b in some for runs in b.column(2).to_pylist() for r in runs) == "字a" * 6000
+
+
+def test_run_stats_counts_inside_the_rows(spark, sf):
+    told = e.queries()["run_stats"](spark, sf)
+    assert "Generate" not in told._jdf.queryExecution().optimizedPlan().toString()
+    counts = e.queries()["text_runs"](spark, sf).groupBy("kind").count().collect()
+    assert {r["kind"]: r["count"] for r in counts}.items() <= {k: sum(r[k] for r in told.collect()) for k in told.columns[1:]}.items()
