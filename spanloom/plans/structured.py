@@ -25,7 +25,7 @@ from ..functions import text as T
 from ..operators import batching
 from ..operators import segmenting as S
 from ..operators.html_tree import Tree
-from ..operators.model import Guard, call_map, model_map
+from ..operators.model import Guard, call_map, marked, model_map
 from ..sources.config import Structured, Translation
 
 RUN = dict(node_id="string", kind="string", raw="string", placeholder="string", offset_start="int", offset_end="int", sequence_index="int", slot_index="int", translate="boolean")
@@ -131,11 +131,47 @@ def run_by_run(rows: DataFrame, model: Callable | None, pair: tuple[Column, Colu
     return rows.join(sums.select(*key, text.alias("output")), key)
 
 
+def renaming(k: int) -> tuple[Column, Column]:
+    """A segment's text under the k-th fresh prefix, from its text, so that a repeated task asks the same; its placeholders."""
+    other = F.concat(F.lit("__IT"), F.upper(F.substring(F.md5(F.concat("source_text", F.lit(str(k))).cast("binary")), 1, 4)), F.lit("_"))
+    name = lambda t: F.concat(other, F.substring(t, len(P.PREFIX) + 1, 20))
+    return F.aggregate("placeholder_order", F.col("source_text"), lambda s, t: F.replace(s, t, name(t))), F.transform("placeholder_order", name)
+
+
+def marked_in_row(plan: DataFrame, retries: int) -> DataFrame:
+    """What translated gives with the test model, a Column expression: what fails is asked again inside its row, so that no page is segmented again."""
+
+    def told(output: Column, k: int, fallen: int) -> Column:
+        return F.struct(output.alias("output"), F.lit(k).alias("retries"), F.lit(fallen).alias("fallbacks"))
+
+    def once(value: Column, use: Callable[[Column], Column]) -> Column:
+        """use(value), whose expression stands in the plan once however often it is used."""
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def restored(spans: Column, tokens: Column, got: Column) -> Column:
+        return F.when(T.matches(got, P.ANY_PLACEHOLDER) == tokens, T.restored(got, tokens, F.transform(spans, lambda s: s["content"])))
+
+    def piece(r: Column) -> Column:
+        with_tokens = lambda spans: F.struct(spans.alias("spans"), F.transform(spans, lambda s, i: T.token("span", i + 1)).alias("tokens"), marked(T.protected(r["raw"], spans)).alias("got"))
+        back = once(once(T.protected_spans(r["raw"]), with_tokens), lambda x: restored(x["spans"], x["tokens"], x["got"]))
+        return F.when(~r["translate"], r["placeholder"]).when(r["raw"].rlike(r"(?U)^\s*\z"), r["raw"]).otherwise(back)
+
+    first = marked(F.col("source_text"))
+    tries = [F.when(T.matches(first, P.ANY_PLACEHOLDER) == F.col("placeholder_order"), told(first, 0, 0))]
+    for k in range(retries):
+        asked, names = renaming(k)
+        tries.append(F.when(T.matches(marked(asked), P.ANY_PLACEHOLDER) == names, told(T.restored(marked(asked), names, F.col("placeholder_order")), k + 1, 0)))
+    whole = once(F.transform("runs", piece), lambda pieces: F.when(F.forall(pieces, lambda p: p.isNotNull()), F.array_join(pieces, "")))
+    fallen = told(whole, retries, 1)
+    rows = plan.withColumn("__told", F.coalesce(*tries, fallen))
+    return rows.select(*plan.columns, "__told.output", F.lit(None).cast("string").alias("fault"), "__told.retries", "__told.fallbacks")
+
+
 def translated(segments: DataFrame, model: Callable | None = None, settings: Structured | None = None, held: list[DataFrame] | None = None, translation: Translation | None = None) -> DataFrame:
     """segments with output (null if none is right), fault (the class of what the model did wrong last), retries and fallbacks.
 
     What the model gave is persisted, so that it is asked once; ``held`` gets the persisted tables, for a caller
-    that lives on to release. The test model runs in the JVM, where asking again costs no more than keeping.
+    that lives on to release. The test model runs inside the rows, so that nothing need be kept.
     """
     held = [] if held is None else held
     settings, translation = settings or Structured(), translation or Translation()
@@ -144,34 +180,30 @@ def translated(segments: DataFrame, model: Callable | None = None, settings: Str
     guard, style = Guard(settings.max_total_seconds, settings.segment_warning_seconds), F.lit("sentence")
 
     def circles(c: str, tokens: Column) -> Column:
-        if model is None:
-            return F.lit(False)
         return F.coalesce(B.degenerate(F.col(c), tokens, generation.max_repeated_token_run, generation.max_repeated_ngram_ratio), F.lit(False))
 
     def kept(df: DataFrame) -> DataFrame:
-        if model is not None:
-            held.append(df.persist())
+        held.append(df.persist())
         return df
 
     plan = batching.planned(segments.filter(F.col("error").isNull()).withColumn("seq", F.col("sequence_index") + 1), doc="page_key", tokens="token_count", size=settings.batch_size)
+    if model is None:
+        return marked_in_row(plan, settings.max_retries)
     first = call_map(plan, ["page_key", "batch_index"], "seq", "source_text", "output", "fault", model, "bucket", pair, style, guard)
-    if model is not None:  # what runs in circles is asked for once more, alone, in a simpler way
-        stuck = circles("output", F.col("token_count"))
-        first = kept(first.withColumn("stuck", stuck))
-        simpler = Guard(guard.seconds, guard.slow, generation.retry_num_beams)
-        again = model_map(first.filter("stuck").drop("output", "fault"), "source_text", "output", model, 1, F.least("bucket", F.lit(generation.retry_max_new_tokens)), pair, style, simpler, "fault")
-        again = again.withColumn("fault", F.when(stuck, "quality").otherwise(F.col("fault"))).withColumn("output", F.when(~stuck, F.col("output")))
-        first = first.filter("NOT stuck").unionByName(again).drop("stuck")
+    # What runs in circles is asked for once more, alone, in a simpler way.
+    stuck = circles("output", F.col("token_count"))
+    first = kept(first.withColumn("stuck", stuck))
+    simpler = Guard(guard.seconds, guard.slow, generation.retry_num_beams)
+    again = model_map(first.filter("stuck").drop("output", "fault"), "source_text", "output", model, 1, F.least("bucket", F.lit(generation.retry_max_new_tokens)), pair, style, simpler, "fault")
+    again = again.withColumn("fault", F.when(stuck, "quality").otherwise(F.col("fault"))).withColumn("output", F.when(~stuck, F.col("output")))
+    first = first.filter("NOT stuck").unionByName(again).drop("stuck")
     # The source's placeholders, each once, in their order, and no others: what placeholder_check calls ok, in one pass.
     fine = F.coalesce(T.matches(F.col("output"), P.ANY_PLACEHOLDER) == F.col("placeholder_order"), F.lit(False))
     first = kept(first.withColumn("ok", fine))
     done = first.filter("ok").withColumns({"retries": F.lit(0), "fallbacks": F.lit(0)}).drop("ok")
     left = first.filter("NOT ok").drop("ok", "output")
     for k in range(settings.max_retries):
-        # A fresh prefix for each segment, from its text, so that a repeated task asks the same.
-        other = F.concat(F.lit("__IT"), F.upper(F.substring(F.md5(F.concat("source_text", F.lit(str(k))).cast("binary")), 1, 4)), F.lit("_"))
-        asked = F.aggregate("placeholder_order", F.col("source_text"), lambda s, t: F.replace(s, t, F.concat(other, F.substring(t, len(P.PREFIX) + 1, 20))))
-        names = F.transform("placeholder_order", lambda t: F.concat(other, F.substring(t, len(P.PREFIX) + 1, 20)))
+        asked, names = renaming(k)
         rows = model_map(left.withColumn("asked", asked).withColumn("names", names), "asked", "got", model, 1, F.col("bucket"), pair, style, guard, "last")
         rows = rows.withColumn("fault", F.coalesce("last", "fault")).drop("last")
         again = F.coalesce(T.matches(F.col("got"), P.ANY_PLACEHOLDER) == F.col("names"), F.lit(False)) & ~circles("got", F.col("token_count"))

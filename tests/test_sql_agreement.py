@@ -69,3 +69,11 @@ def test_run_stats_counts_inside_the_rows(spark, sf):
     assert "Generate" not in told._jdf.queryExecution().optimizedPlan().toString()
     counts = e.queries()["text_runs"](spark, sf).groupBy("kind").count().collect()
     assert {r["kind"]: r["count"] for r in counts}.items() <= {k: sum(r[k] for r in told.collect()) for k in told.columns[1:]}.items()
+
+
+def test_the_test_model_asks_again_inside_the_row(spark):
+    """Texts with what looks like a placeholder fail at first; each page is still segmented in one place of the plan."""
+    rows = [("a", "<p>中文 __ITAB_A0001_ 文字 AB-1234 中<b>粗 USB-C</b></p>"), ("b", "<p title='中 __ITX_S0001_ AB-123'>文</p>"), ("c", "<p>一 word</p>")]
+    done = structured.translate_html(spark.createDataFrame(rows, "doc_id string, html string"))
+    assert done._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2  # segments, rebuilt pages
+    assert {r["doc_id"]: (r["html"], r["error"]) for r in done.collect()}["c"] == ("<p>EN:一 word</p>", None)
