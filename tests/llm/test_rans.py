@@ -39,6 +39,24 @@ def test_special_strings_are_as_the_library_has_them(text, literal):
     assert np.frombuffer(WordCodec(VOCABULARY, literal).encode(text), "<u2").tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+@pytest.fixture(scope="module")
+def codec():
+    return WordCodec(VOCABULARY)
+
+
+@settings(max_examples=500, deadline=None)
+@given(text=st.text(st.characters(max_codepoint=0x17F), max_size=40) | st.lists(st.sampled_from(["Word", "WORD,", "À", "J\u030c", "T\u0308", "İ", "ŸÀß", "µ", "<|ENDOFTEXT|>", "<|endoftext|>", "<", "|", "'S", "\xa0", "\x85", " "]), max_size=12).map("".join))
+def test_texts_in_lower_case_have_the_librarys_ids(tokenizer, codec, text):
+    """One codec for all of them, as a worker has."""
+    assert np.frombuffer(codec.encode(text), "<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_a_word_is_kept_once_however_it_is_written():
+    codec = WordCodec(VOCABULARY)
+    codec.encode("Über über ÜBER word Word WORD, word,")
+    assert sorted(codec.kept) == ["", ",", "word", "word,", "über"]
+
+
 @pytest.mark.parametrize("n", [0, 1, 7, 64, 1000, 5000])
 def test_blocks_round_trip(n):
     rng = np.random.default_rng(n)
