@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
@@ -196,8 +197,10 @@ def corpus_of(rows: DataFrame) -> Corpus:
     return Corpus(int(found[65536]), found[:65536], max(1.0, found[65537] / max(1, found[65536])))
 
 
+@cache
 def signs() -> np.ndarray:
-    return np.random.default_rng(7).choice(np.array([-1, 1], np.float32), (65536, DIMS))
+    """8 MB, drawn once in each process."""
+    return np.random.default_rng(7).choice(np.array([-1, 1], np.int8), (65536, DIMS))
 
 
 def content(ids: list[bytes], corpus: Corpus, sign: np.ndarray) -> np.ndarray:
@@ -206,7 +209,7 @@ def content(ids: list[bytes], corpus: Corpus, sign: np.ndarray) -> np.ndarray:
     letters = np.flatnonzero(np.bincount(term, minlength=65536))
     table = np.zeros((len(ids), len(letters)), np.float32)
     table[doc, np.searchsorted(letters, term)] = corpus.weight(term, tf, size[doc])
-    x = table @ sign[letters]
+    x = table @ sign[letters].astype(np.float32)
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 

@@ -83,5 +83,10 @@ def test_ranks_are_bm25():
         assert np.allclose(got, sorted(want, reverse=True))
 
 
+def test_signs_are_drawn_once_in_a_process():
+    assert packing.signs() is packing.signs()
+    assert packing.signs().nbytes <= 8 << 20 and set(np.unique(packing.signs()).tolist()) == {-1, 1}
+
+
 def test_empty_table(spark):
     assert packing.packed(empty(spark), VOCABULARY, 1).count() == 0
