@@ -6,6 +6,7 @@ import codecs
 import gc
 import os
 import re
+import string
 import tempfile
 import uuid
 from array import array
@@ -15,6 +16,7 @@ from typing import Any, TypeVar
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -159,8 +161,9 @@ class WordCodec:
         return ids
 
     def chunk(self, chunk: str) -> bytes:
-        if m := PLAIN.fullmatch(chunk):
-            word, tail = m[1].lower(), m[2]
+        word = chunk.rstrip(string.punctuation)
+        if (word.isascii() and word.isalpha()) or PLAIN.fullmatch(chunk):
+            tail, word = chunk[len(word) :], word.lower()
             ids = self.kept.get(word)
             if ids is None:
                 ids = self.word(word)
@@ -175,14 +178,28 @@ class WordCodec:
             self.kept[chunk] = ids
         return ids
 
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
+    def spaced(self, text: str) -> str:
+        """The text with blanks for line ends and tabs, in lower case where each character's is a matter of its own."""
         if "\n" in text or "\t" in text or "\r" in text:
             text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
-        if "<|" not in text and latin(text):
-            text = text.lower()
-        chunks = text.split(" ")
+        return text.lower() if "<|" not in text and latin(text) else text
+
+    def encode(self, text: str | None) -> bytes:
+        return b"".join(self.looked_up(self.spaced(text).split(" "))) if text else b""
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """What ``encode`` gives for each text. A chunk is looked up once for all of them; the rest is Arrow's."""
+        chunks = pc.split_pattern(pa.array([self.spaced(t) if t else "" for t in texts], pa.large_string()), " ")
+        each = chunks.flatten().dictionary_encode()
+        ids = pa.array(self.looked_up(each.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(each.indices)
+        _, offsets, data = ids.buffers()
+        if data is None:
+            return [b""] * len(texts)
+        ends = np.frombuffer(offsets, np.int64)[chunks.offsets.to_numpy()].tolist()
+        whole = memoryview(data)
+        return [bytes(whole[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+
+    def looked_up(self, chunks: list[str]) -> list[bytes]:
         found = list(map(self.kept.get, chunks))
         if None in found:
             if len(self.kept) > CACHED_WORDS:
@@ -193,7 +210,7 @@ class WordCodec:
             for _ in range(found.count(None)):
                 i = found.index(None, i + 1)
                 found[i] = self.kept.get(chunks[i]) or self.chunk(chunks[i])
-        return b"".join(found)
+        return found
 
 
 def codec(path: str) -> WordCodec:

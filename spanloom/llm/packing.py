@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import cache
 from typing import NamedTuple
 
 import numpy as np
@@ -36,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, codec, drawn, materialize, partitions, slices
+from .common import bounded_batches, codec, drawn, materialize, partitions, slices, worker_state
 
 WINDOW, SHARD_CHARS = 2048, 2_000_000
 K1, B = 1.5, 0.75
@@ -44,6 +43,8 @@ K1, B = 1.5, 0.75
 DIMS, PER_CLUSTER, SAMPLE, ROUNDS = 128, 32, 131_072, 8
 #: Stretches of an ordered table; entries and documents up to which a shard's scores come from one matrix product, and what an entry of it costs against one of a posting list.
 PHASES, MATRIX, TOGETHER, CHEAPER = 16, 16_000_000, 4096, 150
+#: Shards that a task packs, one after another, where the session's partitions are fewer: each task writes a file, and starts processes for it.
+TASK_SHARDS = 16
 RESULT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -151,10 +152,10 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int, id_col: str, text_col
         from xxhash import xxh64_intdigest
 
         of, part, row, found = codec(vocabulary), TaskContext.get().partitionId(), 0, np.zeros(65538, np.int64)  # the last two: documents, ids
-        for batch in slices(batches):
+        for batch in slices(batches, 1024):
             if not batch.num_rows:
                 continue
-            ids = [of.encode(t) + end for t in batch.column(3).to_pylist()]
+            ids = [x + end for x in of.encode_all(batch.column(3).to_pylist())]
             size, _, term, _ = counted(ids)
             found += np.append(np.bincount(term, minlength=65536), [len(size), size.sum()])
             salt = [xxh64_intdigest(f"{name} {part} {row + i}") >> 1 for i, name in enumerate(batch.column(2).to_pylist())]
@@ -197,10 +198,9 @@ def corpus_of(rows: DataFrame) -> Corpus:
     return Corpus(int(found[65536]), found[:65536], max(1.0, found[65537] / max(1, found[65536])))
 
 
-@cache
 def signs() -> np.ndarray:
-    """8 MB, drawn once in each process."""
-    return np.random.default_rng(7).choice(np.array([-1, 1], np.int8), (65536, DIMS))
+    """8 MB, drawn once in each process; the codec and its words, which a worker has kept until then, go."""
+    return worker_state("signs", lambda: np.random.default_rng(7).choice(np.array([-1, 1], np.int8), (65536, DIMS)))
 
 
 def content(ids: list[bytes], corpus: Corpus, sign: np.ndarray) -> np.ndarray:
@@ -307,7 +307,7 @@ def packed(docs: DataFrame, vocabulary: str, end_id: int, window: int = WINDOW,
         return pa.table([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], [x.split()[0] for x in RESULT.split(", ")])
 
     placed = dealt(rows, corpus, total, shards, shard_chars) if corpus else rows.select(F.lit(0).cast("long").alias("shard"), "doc_id", "ids")
-    placed = placed.repartition(min(shards, max(partitions(spark), shards // 4)), "shard")
+    placed = placed.repartition(min(shards, max(partitions(spark), shards // TASK_SHARDS)), "shard")
     return placed.groupBy("shard").applyInArrow(run, RESULT)
 
 

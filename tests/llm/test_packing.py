@@ -3,8 +3,9 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
-from spanloom.llm import packing
+from spanloom.llm import common, packing
 from spanloom.llm.common import WordCodec
 
 from .cases import ROWS, documents, empty
@@ -88,5 +89,30 @@ def test_signs_are_drawn_once_in_a_process():
     assert packing.signs().nbytes <= 8 << 20 and set(np.unique(packing.signs()).tolist()) == {-1, 1}
 
 
+def test_workers_that_place_documents_keep_no_words():
+    common.codec(VOCABULARY).encode("some words")
+    packing.signs()
+    assert list(common._state) == ["signs"]
+
+
+def test_a_task_packs_many_shards(spark):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(40))) for i in range(200)]
+    got = packing.packed(documents(spark, rows), VOCABULARY, 1, shard_chars=1000)
+    assert got.rdd.getNumPartitions() <= 4
+    rows = got.collect()
+    assert len({r["sequence_id"] >> 32 for r in rows}) > 16 and len({r["doc_id"] for r in rows}) == 200
+
+
+def test_texts_encoded_together_are_as_encoded_alone():
+    odd = [None, "", " ", "  a  b ", "word. Word, WORD!?", "\u00c9t\u00e9... \u00df;", "e\u0301 A\u0308.", "\u4e2d\u6587\uff0c\ud83d\ude00".encode("utf-16", "surrogatepass").decode("utf-16"), "<|endoftext|> A", "x\ty\r\nz\0q", "...", "a.b, 3,000 \u00aa\u00b5.", "\u0130 I", "y" * 5000 + "."]
+    texts = odd + [t for _, t in ROWS] + odd
+    whole = Tokenizer.from_file(VOCABULARY)
+    want = [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    of = WordCodec(VOCABULARY)
+    assert [np.frombuffer(x, "<u2").tolist() for x in of.encode_all(texts)] == want
+    assert [np.frombuffer(of.encode(t), "<u2").tolist() for t in texts] == want
+    assert of.encode_all([None, ""]) == [b"", b""] and of.encode_all([]) == []
+
+
 def test_empty_table(spark):
     assert packing.packed(empty(spark), VOCABULARY, 1).count() == 0
