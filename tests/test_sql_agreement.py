@@ -48,6 +48,15 @@ def test_long_pages_are_done_whole(agrees, name):
     agrees(name, "pages", LONG, "page_id long, html string")
 
 
+#: The room of a segment ends inside the reference, and the white space before it is one run with what it follows only as long as the reference is cut.
+GAPS = [(k, "<p>" + "a" * 15 + "art" * 40 + " " * 8 + "&amp;" + "art" * 30 + "</p>") for k in (2, 4)]
+
+
+@pytest.mark.parametrize("name", ["attr_segments"])
+def test_room_that_ends_behind_white_space(agrees, name):
+    agrees(name, "pages", GAPS, "page_id long, html string")
+
+
 def test_a_page_without_a_translation_has_not_kept_its_structure(spark, tmp_path):
     spark.createDataFrame([(1, "<p>a</p>"), (3, "<p>__ITRANSLATE_</p>")], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
     told = e.queries()["fingerprint_kept"](spark, str(tmp_path))
