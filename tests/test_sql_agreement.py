@@ -52,7 +52,7 @@ def test_long_pages_are_done_whole(agrees, name):
 GAPS = [(k, "<p>" + "a" * 15 + "art" * 40 + " " * 8 + "&amp;" + "art" * 30 + "</p>") for k in (2, 4)]
 
 
-@pytest.mark.parametrize("name", ["attr_segments", "coverage_check", "fingerprint_kept", "html_translate_text"])
+@pytest.mark.parametrize("name", ["attr_segments", "coverage_check", "fingerprint_kept", "html_translate_text", "excluded_unchanged"])
 def test_room_that_ends_behind_white_space(agrees, name):
     agrees(name, "pages", GAPS, "page_id long, html string")
 
