@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
-from .text import content_tokens, words
+from .text import content_tokens, let, words
 
 # The budget classes, in tokens.
 BUCKETS = (64, 128, 192, 256, 320, 400)
@@ -88,12 +88,23 @@ def repeated_pairs(w: Column) -> Column:
     return folded(w, lambda s: s["pairs"]).cast("long")
 
 
-def degenerate(text: Column, source_tokens: Column, most_run: int = 3, most_ratio: float = 0.35) -> Column:
-    """Whether a model's output runs in circles or swells beyond measure."""
+def repeating(source: Column, most_run: int = 3, most_ratio: float = 0.35) -> Column:
+    """Whether a text itself says the same again and again: a stretch stands more than most_run times in a row, or what
+    comes again right after itself takes up so much that a translation, of up to five words a character, may exceed most_ratio."""
+    own = F.regexp_replace(F.regexp_replace(source, P.ANY_PLACEHOLDER, "\0"), r"(?U)\s+", "")
+    once = lambda t: F.regexp_replace(t, r"([^\x00]{1,40}?)(?=\1)", "")
+    return let(own, lambda t: t.rlike(rf"([^\x00]{{1,40}}?)\1{{{most_run}}}") | (1 - F.length(once(t)) / F.length(t) > most_ratio / 4))
+
+
+def degenerate(text: Column, source_tokens: Column, most_run: int = 3, most_ratio: float = 0.35, source: Column | None = None) -> Column:
+    """Whether a model's output runs in circles or swells beyond measure. With its source: one that repeats itself may
+    have an output that does, as long as it doesn't swell."""
 
     def told(s: Column) -> Column:
-        circles = (s["n"] >= 4) & (s["pairs"] / F.greatest(F.lit(1), s["n"] - 3) > most_ratio)
-        swollen = (source_tokens <= 32) & (s["n"] > F.greatest(F.lit(32), source_tokens * 8))
-        return F.when(s["n"] == 0, F.trim(text) == "").otherwise((s["best"] > most_run) | circles | swollen)
+        circles = (s["best"] > most_run) | (s["n"] >= 4) & (s["pairs"] / F.greatest(F.lit(1), s["n"] - 3) > most_ratio)
+        much = s["n"] > F.greatest(F.lit(32), source_tokens * 8)
+        if source is not None:
+            circles = F.when(circles, much | ~repeating(source, most_run, most_ratio)).otherwise(F.lit(False))
+        return F.when(s["n"] == 0, F.trim(text) == "").otherwise(circles | (source_tokens <= 32) & much)
 
     return folded(words(text), told)

@@ -4,7 +4,7 @@ Documents that a guard stops never reach the parser. Segments are planned into b
 model map; outputs are checked in the JVM; only segments that failed are sent again, first under other
 placeholders, then run by run; a document is rebuilt only if all of its segments are right, and fails alone.
 One call of the model for each batch of the plan, with its budget, languages and style; outputs that run in
-circles are asked for once more, with fewer beams and tokens, before they count as failed.
+circles, though their source doesn't, are asked for once more, with fewer beams and tokens, before they count as failed.
 
 Rows are known by a hash of their id and html (``page_key``): rows that share an id, or have none, are documents
 of their own; equal rows are segmented and translated once. Shuffles, by page_key: the pages, to find equal ones; their
@@ -114,7 +114,7 @@ def renamed(c: Column, tokens: Column, prefix: str) -> Column:
     return F.aggregate(tokens, c, lambda s, t: F.replace(s, t, F.replace(t, F.lit(P.PREFIX), F.lit(prefix))))
 
 
-def run_by_run(rows: DataFrame, model: Callable | None, pair: tuple[Column, Column], guard: Guard, circles: Callable[[str, Column], Column]) -> DataFrame:
+def run_by_run(rows: DataFrame, model: Callable | None, pair: tuple[Column, Column], guard: Guard, circles: Callable[[str, Column, Column], Column]) -> DataFrame:
     """Every translated run sent alone, its identifiers protected, and put between its segment's placeholders."""
     key = ["page_key", "sequence_index"]
     runs = rows.select(*key, *PAIR, F.posexplode("runs").alias("at", "run"))
@@ -122,7 +122,7 @@ def run_by_run(rows: DataFrame, model: Callable | None, pair: tuple[Column, Colu
     asked = F.when(F.col("run.translate") & ~F.col("run.raw").rlike(r"(?U)^\s*\z"), T.protected(F.col("run.raw"), F.col("spans")))
     budget = B.target_budget(B.measure(F.col("run.raw")), F.lit("sentence"))
     out = model_map(sent.withColumn("asked", asked), "asked", "got", model, budget=budget, pair=pair, style=F.lit("sentence"), guard=guard)
-    fine = F.col("asked").isNull() | F.coalesce(T.placeholder_check(F.col("got"), F.col("tokens"))["ok"] & ~circles("got", B.measure(F.col("run.raw"))), F.lit(False))
+    fine = F.col("asked").isNull() | F.coalesce(T.placeholder_check(F.col("got"), F.col("tokens"))["ok"] & ~circles("got", B.measure(F.col("run.raw")), F.col("run.raw")), F.lit(False))
     back = T.restored(F.col("got"), F.col("tokens"), F.transform("spans", lambda s: s["content"]))
     piece = F.when(~F.col("run.translate"), F.col("run.placeholder")).when(F.col("asked").isNull(), F.col("run.raw")).otherwise(back)
     pieces = F.array_sort(F.collect_list(F.struct("at", piece.alias("piece"))))
@@ -179,8 +179,8 @@ def translated(segments: DataFrame, model: Callable | None = None, settings: Str
     pair = tuple(F.coalesce(F.col(c), F.lit(default)) for c, default in zip(PAIR, (translation.source_language, translation.target_language), strict=True))
     guard, style = Guard(settings.max_total_seconds, settings.segment_warning_seconds), F.lit("sentence")
 
-    def circles(c: str, tokens: Column) -> Column:
-        return F.coalesce(B.degenerate(F.col(c), tokens, generation.max_repeated_token_run, generation.max_repeated_ngram_ratio), F.lit(False))
+    def circles(c: str, tokens: Column, source: Column) -> Column:
+        return F.coalesce(B.degenerate(F.col(c), tokens, generation.max_repeated_token_run, generation.max_repeated_ngram_ratio, source), F.lit(False))
 
     def kept(df: DataFrame) -> DataFrame:
         held.append(df.persist())
@@ -191,7 +191,7 @@ def translated(segments: DataFrame, model: Callable | None = None, settings: Str
         return marked_in_row(plan, settings.max_retries)
     first = call_map(plan, ["page_key", "batch_index"], "seq", "source_text", "output", "fault", model, "bucket", pair, style, guard)
     # What runs in circles is asked for once more, alone, in a simpler way.
-    stuck = circles("output", F.col("token_count"))
+    stuck = circles("output", F.col("token_count"), F.col("source_text"))
     first = kept(first.withColumn("stuck", stuck))
     simpler = Guard(guard.seconds, guard.slow, generation.retry_num_beams)
     again = model_map(first.filter("stuck").drop("output", "fault"), "source_text", "output", model, 1, F.least("bucket", F.lit(generation.retry_max_new_tokens)), pair, style, simpler, "fault")
@@ -206,7 +206,7 @@ def translated(segments: DataFrame, model: Callable | None = None, settings: Str
         asked, names = renaming(k)
         rows = model_map(left.withColumn("asked", asked).withColumn("names", names), "asked", "got", model, 1, F.col("bucket"), pair, style, guard, "last")
         rows = rows.withColumn("fault", F.coalesce("last", "fault")).drop("last")
-        again = F.coalesce(T.matches(F.col("got"), P.ANY_PLACEHOLDER) == F.col("names"), F.lit(False)) & ~circles("got", F.col("token_count"))
+        again = F.coalesce(T.matches(F.col("got"), P.ANY_PLACEHOLDER) == F.col("names"), F.lit(False)) & ~circles("got", F.col("token_count"), F.col("source_text"))
         back = T.restored(F.col("got"), F.col("names"), F.col("placeholder_order"))
         rows = kept(rows.withColumn("output", F.when(again, back)).drop("asked", "names", "got"))
         done = done.unionByName(rows.filter(F.col("output").isNotNull()).withColumns({"retries": F.lit(k + 1), "fallbacks": F.lit(0)}))

@@ -3,8 +3,10 @@
 import duckdb
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as e
+from spanloom.functions import budget
 from spanloom.plans import structured
 
 
@@ -57,6 +59,14 @@ def test_room_that_ends_behind_white_space(agrees, name):
     agrees(name, "pages", GAPS, "page_id long, html string")
 
 
+def test_sources_that_repeat_may_have_outputs_that_do(agrees, spark):
+    rows = [(2, "<p>e e</p><p>Dr ea ea ea ea ea ea</p>"), (4, "<p>th" + " eaeoiou" * 60 + "</p><p>x i i i i i 7 mm</p>")]
+    agrees("recovery_complete", "pages", rows, "page_id long, html string")
+    rows = [("一 一", "EN:一 EN:一", 2, False), ("加厚防水" * 4, "thick waterproof " * 4, 8, False), ("好 好", "good " * 80, 2, True), ("中文说明书在这里", "a b a b a b a b", 4, True)]
+    shape = "source string, output string, tokens long, circles boolean"
+    assert not spark.createDataFrame(rows, shape).filter(budget.degenerate(F.col("output"), F.col("tokens"), source=F.col("source")) != F.col("circles")).count()
+
+
 def test_a_page_without_a_translation_has_not_kept_its_structure(spark, tmp_path):
     spark.createDataFrame([(1, "<p>a</p>"), (3, "<p>__ITRANSLATE_</p>")], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
     told = e.queries()["fingerprint_kept"](spark, str(tmp_path))
