@@ -284,9 +284,12 @@ def _faulty():
 @query()
 def recovery(spark, sf_dir):
     """How many segments of each page needed a second prefix or the run-by-run way with a model that spoils outputs."""
-    done = structured.translated(_segments(spark, sf_dir, ("doc_id", *structured.NEEDED), structured.NEEDED_RUN), _faulty, SETTINGS)
+    pages = _pages(spark, sf_dir)
+    sent = structured.segmented(pages, SETTINGS, ("doc_id", *(c for c in structured.NEEDED if c != "runs")))
+    runs_of = lambda left: structured.segmented(pages, SETTINGS, ("page_key", "sequence_index", "runs"), ("raw", "placeholder", "translate"), left)
+    done = structured.translated(sent, _faulty, SETTINGS, runs_of=runs_of)
     counts = done.groupBy("doc_id").agg(F.count("*").alias("segments"), F.count("output").alias("right"), F.sum("retries").alias("retries"), F.sum("fallbacks").alias("fallbacks"))
-    return _pages(spark, sf_dir).select("doc_id").join(counts, "doc_id", "left").na.fill(0)
+    return pages.select("doc_id").join(counts, "doc_id", "left").na.fill(0)
 
 
 @query("SELECT CAST(page_id AS VARCHAR) AS doc_id, true AS complete FROM pages")

@@ -98,13 +98,17 @@ def handed(batches: Iterator[pa.RecordBatch], settings: Structured, of: tuple[st
         yield listed(rows, of, of_runs)
 
 
-def segmented(pages: DataFrame, settings: Structured | None = None, of: tuple[str, ...] = tuple(SEGMENT), of_runs: tuple[str, ...] = tuple(RUN)) -> DataFrame:
+def segmented(pages: DataFrame, settings: Structured | None = None, of: tuple[str, ...] = tuple(SEGMENT), of_runs: tuple[str, ...] = tuple(RUN), only: DataFrame | None = None) -> DataFrame:
     """The segments of each document, attributes' last; a document that can't be segmented is one row with error.
 
     ``of`` and ``of_runs`` name the columns and the runs' fields that are wanted: a block's text stands in each of its segments.
+    ``only``: a table with the page_key of the documents wanted.
     """
     settings = settings or Structured()
-    good = guarded(pages, settings).filter(F.col("error").isNull()).dropDuplicates(["page_key"])
+    good = guarded(pages, settings).filter(F.col("error").isNull())
+    if only is not None:
+        good = good.join(only.select("page_key").distinct(), "page_key", "left_semi")
+    good = good.dropDuplicates(["page_key"])
     types = SEGMENT | {"runs": f"array<struct<{','.join(f'{f}:{RUN[f]}' for f in of_runs)}>>"}
     return good.select("html", *KEPT).mapInArrow(lambda batches: handed(batches, settings, of, of_runs), ", ".join(f"{c} {types[c]}" for c in of))
 
@@ -167,11 +171,13 @@ def marked_in_row(plan: DataFrame, retries: int) -> DataFrame:
     return rows.select(*plan.columns, "__told.output", F.lit(None).cast("string").alias("fault"), "__told.retries", "__told.fallbacks")
 
 
-def translated(segments: DataFrame, model: Callable | None = None, settings: Structured | None = None, held: list[DataFrame] | None = None, translation: Translation | None = None) -> DataFrame:
+def translated(segments: DataFrame, model: Callable | None = None, settings: Structured | None = None, held: list[DataFrame] | None = None, translation: Translation | None = None, runs_of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """segments with output (null if none is right), fault (the class of what the model did wrong last), retries and fallbacks.
 
     What the model gave is persisted, so that it is asked once; ``held`` gets the persisted tables, for a caller
-    that lives on to release. The test model runs inside the rows, so that nothing need be kept.
+    that lives on to release. The test model runs inside the rows, so that nothing need be kept. Runs take up far more room
+    than texts: with a model, segments may come without, and ``runs_of`` gives those (page_key, sequence_index, runs) of the
+    pages of rows that are sent run by run.
     """
     held = [] if held is None else held
     settings, translation = settings or Structured(), translation or Translation()
@@ -192,14 +198,13 @@ def translated(segments: DataFrame, model: Callable | None = None, settings: Str
     first = call_map(plan, ["page_key", "batch_index"], "seq", "source_text", "output", "fault", model, "bucket", pair, style, guard)
     # What runs in circles is asked for once more, alone, in a simpler way.
     stuck = circles("output", F.col("token_count"), F.col("source_text"))
-    first = kept(first.withColumn("stuck", stuck))
-    simpler = Guard(guard.seconds, guard.slow, generation.retry_num_beams)
-    again = model_map(first.filter("stuck").drop("output", "fault"), "source_text", "output", model, 1, F.least("bucket", F.lit(generation.retry_max_new_tokens)), pair, style, simpler, "fault")
-    again = again.withColumn("fault", F.when(stuck, "quality").otherwise(F.col("fault"))).withColumn("output", F.when(~stuck, F.col("output")))
-    first = first.filter("NOT stuck").unionByName(again).drop("stuck")
     # The source's placeholders, each once, in their order, and no others: what placeholder_check calls ok, in one pass.
     fine = F.coalesce(T.matches(F.col("output"), P.ANY_PLACEHOLDER) == F.col("placeholder_order"), F.lit(False))
-    first = kept(first.withColumn("ok", fine))
+    first = kept(first.withColumns({"stuck": stuck, "ok": fine}))
+    simpler = Guard(guard.seconds, guard.slow, generation.retry_num_beams)
+    again = model_map(first.filter("stuck").drop("output", "fault", "ok"), "source_text", "output", model, 1, F.least("bucket", F.lit(generation.retry_max_new_tokens)), pair, style, simpler, "fault")
+    again = again.withColumn("fault", F.when(stuck, "quality").otherwise(F.col("fault"))).withColumn("output", F.when(~stuck, F.col("output")))
+    first = first.filter("NOT stuck").unionByName(kept(again.withColumn("ok", fine))).drop("stuck")
     done = first.filter("ok").withColumns({"retries": F.lit(0), "fallbacks": F.lit(0)}).drop("ok")
     left = first.filter("NOT ok").drop("ok", "output")
     for k in range(settings.max_retries):
@@ -211,6 +216,8 @@ def translated(segments: DataFrame, model: Callable | None = None, settings: Str
         rows = kept(rows.withColumn("output", F.when(again, back)).drop("asked", "names", "got"))
         done = done.unionByName(rows.filter(F.col("output").isNotNull()).withColumns({"retries": F.lit(k + 1), "fallbacks": F.lit(0)}))
         left = rows.filter(F.col("output").isNull()).drop("output")
+    if runs_of is not None:
+        left = kept(left.join(runs_of(left), ["page_key", "sequence_index"]))
     fallen = run_by_run(left, model, pair, guard, circles).withColumns({"retries": F.lit(settings.max_retries), "fallbacks": F.lit(1)})
     return done.unionByName(fallen.select(done.columns))
 

@@ -83,6 +83,26 @@ def test_segments_are_handed_on_in_bounded_batches(monkeypatch):
     assert "".join(r["raw"] for b in some for runs in b.column(2).to_pylist() for r in runs) == "字a" * 6000
 
 
+def test_runs_travel_only_where_they_are_sent_one_by_one(spark, sf, monkeypatch):
+    """A model that spoils every text with a placeholder: outputs are equal whether segments have runs or get them at the end."""
+
+    def spoiling():
+        return lambda texts: [None if "__IT" in t else t.replace("中", "EN:中") for t in texts]
+
+    pages = spark.createDataFrame([("a", "<p>中文 AB-1234 中<b>粗 USB-C</b></p><p>中</p>"), ("b", "<p>中</p>"), ("a", "<p>文 AB-1234</p>")], "doc_id string, html string")
+    of = [c for c in structured.NEEDED if c != "runs"]
+    without, asked = structured.segmented(pages, None, of), []
+    runs_of = lambda left: asked.append(left) or structured.segmented(pages, None, ("page_key", "sequence_index", "runs"), ("raw", "placeholder", "translate"), left)
+    told = [structured.translated(structured.segmented(pages, None, structured.NEEDED, structured.NEEDED_RUN), spoiling), structured.translated(without, spoiling, runs_of=runs_of)]
+    some = [sorted(map(tuple, t.select("page_key", "sequence_index", "output", "retries", "fallbacks").collect())) for t in told]
+    assert some[0] == some[1] and len(some[0]) == 4 and sum(r[-1] for r in some[0]) == 2 and all(r[2] for r in some[0])
+    assert asked[0].select("page_key").distinct().count() == 2
+    seen, whole = [], structured.segmented
+    monkeypatch.setattr(structured, "segmented", lambda *a: seen.append(a[2]) or whole(*a))
+    e.queries()["recovery"](spark, sf)
+    assert ["runs" in of for of in seen] == [False, True]
+
+
 def test_run_stats_counts_inside_the_rows(spark, sf):
     told = e.queries()["run_stats"](spark, sf)
     assert "Generate" not in told._jdf.queryExecution().optimizedPlan().toString()
